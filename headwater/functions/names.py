@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: What may quote a name, and what counts as a blank (also the no-break space).
 QUOTES = r"[\[\]\"`]"
-BLANK = r"[\s ]"
+BLANK = r"[\s\xA0]"
 
 
 def clean_name(name: Column) -> Column:
@@ -29,9 +29,9 @@ def qualified(schema: Column, table: Column) -> Column:
 def schema_of(name: Column, default: str = "dbo") -> Column:
     """The schema part of a dotted name (the part before the last one), or the default."""
     parts = F.split(clean_name(name), r"\.")
-    return F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit(default))
+    return F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(-2))).otherwise(F.lit(default))
 
 
 def object_of(name: Column) -> Column:
     """The last part of a dotted name."""
-    return F.element_at(F.split(clean_name(name), r"\."), -1)
+    return F.try_element_at(F.split(clean_name(name), r"\."), F.lit(-1))

@@ -37,9 +37,8 @@ def orphan_references(refs: DataFrame, targets: DataFrame, starts: str = "starts
     lives = lifetimes(targets, "ref_key", starts, ends)
     per_period = refs.groupBy("ref_key", F.trunc("ref_at", "month").alias("period")).agg(F.count(F.lit(1)).alias("n"))
     per_key = per_period.groupBy("ref_key").agg(F.sum("n").alias("n"))
-    total = per_period.agg(F.sum("n").alias("total"))
-    # One row against few: the total joins the counts per key without a condition on purpose.
-    heavy = per_key.crossJoin(F.broadcast(total)).filter(F.col("n") > F.col("total") * heavy_share).select("ref_key")
+    total = per_period.agg(F.sum("n").alias("total")).scalar()
+    heavy = per_key.filter(F.col("n") > total * heavy_share).select("ref_key")
     heavy_lives = heavy.join(lives, heavy["ref_key"] == lives["_key"], "left").filter(F.coalesce(F.size("_lives"), F.lit(0)) <= MAX_LIFETIMES)
     heavy_lives = heavy_lives.select(F.col("ref_key").alias("_heavy"), "_lives")
 

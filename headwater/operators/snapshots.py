@@ -122,7 +122,7 @@ def canonical_type(data_type: Column, synonyms: dict[str, str]) -> Column:
 
     >>> "NUMERIC (10, 2)" and "decimal(10,2)" are the same if synonyms has numeric -> decimal
     """
-    tight = F.lower(F.regexp_replace(data_type, r"[\s ]+", ""))
+    tight = F.lower(F.regexp_replace(data_type, r"[\s\xA0]+", ""))
     base = F.regexp_replace(tight, r"\(.*?\)", "")
     args = F.regexp_extract(tight, r"(\(.*?\))", 1)
     known = F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair]) if synonyms else F.expr("map('', '')")
