@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import canonical, matching, splitting
+from headwater.llm import canonical, matching, mixing, packing, splitting, tokens
+from headwater.scratch import Scratch
 from headwater.sources.tables import table
 
 
@@ -51,4 +52,43 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).groupBy("procedure_id").agg(F.max(F.col("is_forced").cast("int")).alias("forced_cut"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p4_counts": p4_counts, "p6_pieces": p6_pieces}
+def token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source and number of tokens of all documents, written once because texts are tokenized in Python."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("size"))
+    return Scratch(spark, "tokens").save(docs)
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each document, or of each part of documents larger than a container."""
+    packed = packing.pack(token_sizes(spark, sf_dir), "doc_id", "size", size_limit(spark, sf_dir, "container_tokens"))
+    return packed.select(F.col("container").alias("container_id"), "doc_id", "part", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of containers, their lower bound, and the share of unused room."""
+    capacity = size_limit(spark, sf_dir, "container_tokens")
+    return packing.packing_report(packing.pack(token_sizes(spark, sf_dir), "doc_id", "size", capacity), capacity)
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mixture and how often each is used."""
+    return mixing.mix(token_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the sources in the mixture."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.mix_report(mixing.mix(token_sizes(spark, sf_dir), targets), targets)
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p6_found": p6_found,
+    "p7_containers": p7_containers,
+    "p8_mixture": p8_mixture,
+    "p4_counts": p4_counts,
+    "p6_pieces": p6_pieces,
+    "p7_report": p7_report,
+    "p8_report": p8_report,
+}
