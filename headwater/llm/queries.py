@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import canonical, matching, mixing, packing, splitting, tokens
+from headwater.llm import canonical, matching, mixing, packing, splitting, subjects, tokens
 from headwater.scratch import Scratch
 from headwater.sources.tables import table
 
@@ -81,12 +81,21 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(mixing.mix(token_sizes(spark, sf_dir), targets), targets)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects that each document deals with."""
+    docs = table(spark, sf_dir, "documents")
+    areas = {r["subject"]: r["description"] for r in table(spark, sf_dir, "subject_areas").filter("subject is not null").limit(1000).collect()}
+    sample = subjects.labelled_sample(docs, table(spark, sf_dir, "subject_labels"), "doc_id", "text")
+    return subjects.classify(docs, subjects.fit(sample, areas), "doc_id", "text").distinct()
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p7_containers": p7_containers,
     "p8_mixture": p8_mixture,
+    "p9_found": p9_found,
     "p4_counts": p4_counts,
     "p6_pieces": p6_pieces,
     "p7_report": p7_report,
