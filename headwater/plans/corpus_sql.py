@@ -1,6 +1,6 @@
 """The queries of ``corpus_queries`` as plain SQL, written independently of the operators, for a comparison in another engine."""
 
-_CLEAN = r"nullif(regexp_replace(regexp_replace(lower(regexp_replace({0}, '[\[\]\"`]', '', 'g')), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'), '[\s\x{00A0}]*\.[\s\x{00A0}]*', '.', 'g'), '')"
+_CLEAN = r"nullif(regexp_replace(regexp_replace(lower(regexp_replace({0}, '[\[\]\"`]', '', 'g')), '^[\s\xA0]+|[\s\xA0]+$', '', 'g'), '[\s\xA0]*\.[\s\xA0]*', '.', 'g'), '')"
 
 
 def clean(x: str) -> str:
@@ -11,11 +11,11 @@ ORACLE_SQL = {
     "p1_found": f"""
 WITH raw AS (
   SELECT database_name, snapshot_no, {clean("table_schema")} AS table_schema, {clean("table_name")} AS table_name,
-         {clean("column_name")} AS column_name, loaded_at, lower(regexp_replace(data_type, '[\\s\\x{00A0}]', '', 'g')) AS t
+         {clean("column_name")} AS column_name, loaded_at, lower(regexp_replace(data_type, '[\\s\\xA0]', '', 'g')) AS t
   FROM catalog_columns),
 typed AS (
-  SELECT r.*, coalesce(lower(regexp_replace(s.type_name, '[\\s\\x{00A0}]', '', 'g')), regexp_replace(t, '\\(.*?\\)', '', 'g')) || regexp_extract(t, '\\(.*?\\)') AS ty
-  FROM raw r LEFT JOIN type_synonyms s ON lower(regexp_replace(s.spelling, '[\\s\\x{00A0}]', '', 'g')) = regexp_replace(t, '\\(.*?\\)', '', 'g')),
+  SELECT r.*, coalesce(lower(regexp_replace(s.type_name, '[\\s\\xA0]', '', 'g')), regexp_replace(t, '\\(.*?\\)', '', 'g')) || regexp_extract(t, '\\(.*?\\)') AS ty
+  FROM raw r LEFT JOIN type_synonyms s ON lower(regexp_replace(s.spelling, '[\\s\\xA0]', '', 'g')) = regexp_replace(t, '\\(.*?\\)', '', 'g')),
 latest AS (
   SELECT database_name, snapshot_no, table_schema, table_name, column_name, ty FROM typed
   WHERE database_name IS NOT NULL AND snapshot_no IS NOT NULL AND table_schema IS NOT NULL AND table_name IS NOT NULL AND column_name IS NOT NULL
