@@ -212,7 +212,8 @@ class Parser:
         elif self.up(i) == "VALUES":
             q.items = []
         elif self.ts[i : i + 1] and self.ts[i].text == "(":
-            q.branches.append(self.query(i, self.match(i, end), q))
+            k = self.match(i, end)
+            q.branches.append(self.query(i + 1, k - 1 if k < end or self.ts[k - 1].text == ")" else k, q))
         return q
 
     def ctes(self, i: int, end: int, q: Query) -> int:

@@ -1,6 +1,6 @@
 """All queries by name, and their SQL."""
 
-from headwater.plans import corpus_queries, corpus_sql
+from headwater.plans import corpus_queries, corpus_sql, lineage_queries, lineage_sql
 
-QUERIES = {**corpus_queries.QUERIES}
-ORACLE_SQL = {**corpus_sql.ORACLE_SQL}
+QUERIES = {**corpus_queries.QUERIES, **lineage_queries.QUERIES}
+ORACLE_SQL = {**corpus_sql.ORACLE_SQL, **lineage_sql.ORACLE_SQL}
