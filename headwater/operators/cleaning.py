@@ -47,7 +47,7 @@ def normalize(text: Column) -> Column:
 
 def split_batches(df: DataFrame, text: str = "sql_text", pattern: str = GO_LINE) -> DataFrame:
     """One row per batch between separator lines, numbered from 0 within its text; empty batches don't count."""
-    parts = F.filter(F.transform(F.split(text, pattern), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, pattern), lambda x: F.trim(x)), lambda x: x != "")
     keep = [c for c in df.columns if c not in (text, "ord", "content")]
     return df.select(*keep, F.posexplode(parts).alias("ord", "content"))
 
