@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwater.scratch import Scratch
+
 #: A key with more than this share of all references is heavy; at most 1 / share keys can be.
 HEAVY_SHARE = 0.001
 #: A heavy key with more lifetimes than this isn't broadcast but joined like the others.
@@ -33,9 +35,12 @@ def orphan_references(refs: DataFrame, targets: DataFrame, starts: str = "starts
     Result: origin, record_id, ref_key, reason (missing: no such key; later: all its lifetimes begin after; deleted: otherwise),
     ref_month (YYYY-MM). Empty inputs: no references, no rows; no targets, all references are missing.
     """
-    refs = refs.select("origin", "record_id", "ref_key", "ref_at").dropna()
+    scratch = Scratch(refs.sparkSession, "references")
+    # Written once: references come out of explodes and joins, and are read for the counts and by both ways of the check.
+    refs = scratch.save(refs.select("origin", "record_id", "ref_key", "ref_at").dropna())
     lives = lifetimes(targets, "ref_key", starts, ends)
     per_period = refs.groupBy("ref_key", F.trunc("ref_at", "month").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    per_period = scratch.save(per_period)
     per_key = per_period.groupBy("ref_key").agg(F.sum("n").alias("n"))
     total = per_period.agg(F.sum("n").alias("total")).scalar()
     heavy = per_key.filter(F.col("n") > total * heavy_share).select("ref_key")
