@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from headwater.scratch import Scratch
+
 #: Keys in a block of ordinals. A block is what one task has to sort; scopes with more keys get several blocks.
 BLOCK_KEYS = 16_384
 WORD = 64
@@ -67,12 +69,13 @@ def snapshot_changes(rows: DataFrame, scope: list[str], key: list[str], snapshot
     # Partitioned by key, both the latest version of a line and the list of a key's deliveries need no further shuffle.
     latest = base.repartition(*cols).groupBy(*cols, "_snap").agg(F.max(F.struct("_version", "_value")).alias("_last"))
     latest = latest.select(*cols, "_snap", F.xxhash64(F.coalesce(F.col("_last._value"), F.lit("\u0000"))).alias("_code"))
-    deliveries = base.groupBy(*scope, "_snap").agg(F.count(F.lit(1)).alias("_lines"))
+    # Written once: the lines of each key are read for the deliveries, the ordinals and the bitmaps.
+    scratch = Scratch(rows.sparkSession, "snapshots")
+    by_key = scratch.save(latest.groupBy(*cols).agg(F.collect_list(F.struct("_snap", "_code")).alias("_held")))
+    deliveries = by_key.select(*scope, F.explode("_held._snap").alias("_snap")).distinct()
     order = Window.partitionBy(*scope).orderBy("_snap")
     deliveries = deliveries.select(*scope, "_snap", F.lag("_snap").over(order).alias("_before"), F.lead("_snap").over(order).alias("_after"))
-    by_key = latest.groupBy(*cols).agg(F.collect_list(F.struct("_snap", "_code")).alias("_held"))
-
-    ordinals = assign_ordinals(by_key, scope, key, block_keys=block_keys)
+    ordinals = scratch.save(assign_ordinals(by_key, scope, key, block_keys=block_keys))
     held = by_key.join(ordinals, cols).select(*cols, "block", "position", F.explode("_held").alias("_h"))
     held = held.select(*cols, "block", F.expr(f"position div {WORD}").alias("_word"), (F.col("position") % WORD).alias("_bit"), F.col("_h._snap").alias("_snap"), F.col("_h._code").alias("_code"))
     word = [*scope, "block", "_word"]
