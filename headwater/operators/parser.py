@@ -303,7 +303,7 @@ class Parser:
             expect = False
             if t.text == "(":
                 k = self.match(i, end)
-                if self.up(i + 1) in ("SELECT", "WITH", "SEL", "VALUES") or self.ts[i + 1].text == "(" and self._leads_to_query(i + 1, k):
+                if self.up(i + 1) in ("SELECT", "WITH", "SEL", "VALUES") or i + 1 < end and self.ts[i + 1].text == "(" and self._leads_to_query(i + 1, k):
                     sub = self.query(i + 1, k - 1, q)
                     alias, i = self.alias(k, end)
                     q.sources.append(Source(alias, query=sub))
@@ -642,7 +642,7 @@ def parse_statement(sql: str) -> Statement:
         st.ctes = _collect_ctes(outer)
     word = p.up(i)
     word = {"SEL": "SELECT", "INS": "INSERT", "UPD": "UPDATE", "DEL": "DELETE"}.get(word, word)
-    if word in ("SELECT", "(") or p.ts[i].text == "(":
+    if word == "SELECT" or i < end and p.ts[i].text == "(":
         q = p.query(i, end, outer)
         st.kind, st.subtype = "SELECT", q.set_op
         into = q.into or next((b.into for b in _branches(q) if b.into), None)
