@@ -107,6 +107,39 @@ def _routes(scratch: Scratch, roots: DataFrame, steps: DataFrame) -> DataFrame:
     return best.select("root", "top", "dist")
 
 
+def _tree_paths(scratch: Scratch, forest: DataFrame, tops: DataFrame) -> DataFrame:
+    """Each node's path within its tree, by doubling: node, top, names (from the top to the node itself).
+
+    After k rounds a node holds the nearest 2^k names above it; the rows written in all never exceed the result by more than the
+    number of rounds.
+    """
+    no_top = F.lit(None).cast("string")
+    paths = scratch.save(
+        tops.select("node", no_top.alias("up"), F.col("node").alias("top"), F.array("node").alias("names"))
+        .unionByName(forest.select(F.col("child").alias("node"), F.col("parent").alias("up"), no_top.alias("top"), F.array("child").alias("names")))
+    )
+    while not paths.filter("up is not null").isEmpty():
+        above = paths.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("names").alias("names2"))
+        longer = paths.filter("up is not null").join(above, "up").select("node", F.col("up2").alias("up"), F.col("top2").alias("top"), F.concat("names2", "names").alias("names"))
+        paths = scratch.replace(paths, paths.filter("up is null").unionByName(longer))
+    return paths.select("node", "top", "names")
+
+
+def _top_paths(scratch: Scratch, roots: DataFrame, steps: DataFrame) -> DataFrame:
+    """A path from each root to each top: root, top, before (the names from the root to the one above the top).
+
+    steps: src, dst, leg (the names from src through its tree to the parent of dst). Of all paths with the fewest links the
+    alphabetically first is kept; as those before one top have the same length, what comes first stays first with each leg.
+    """
+    best = scratch.save(roots.select(F.col("node").alias("root"), F.col("node").alias("top"), F.lit(0).alias("dist"), F.array().cast("array<string>").alias("before"), F.lit(True).alias("fresh")))
+    while not best.filter("fresh").isEmpty():
+        fresh = best.filter("fresh")
+        found = fresh.join(steps, fresh["top"] == steps["src"]).select("root", F.col("dst").alias("top"), (F.col("dist") + F.size("leg")).alias("dist"), F.concat("before", "leg").alias("before"), F.lit(True).alias("fresh"))
+        both = best.withColumn("fresh", F.lit(False)).unionByName(found)
+        best = scratch.replace(best, both.groupBy("root", "top").agg(F.min(F.struct("dist", "before", "fresh")).alias("b")).select("root", "top", "b.dist", "b.before", "b.fresh"))
+    return best.select("root", "top", "before")
+
+
 def _peel(scratch: Scratch, steps: DataFrame) -> DataFrame:
     """Steps that can lie on a circle: rounds remove all nodes nothing leads to, or that lead nowhere."""
     steps = scratch.save(steps)
@@ -199,6 +232,9 @@ class Hierarchy:
         self.circles, opened = _open_circles(scratch, single, tops)
         forest = single.join(opened.select(F.col("node").alias("child")), "child", "left_anti")
         self.tours = euler_tours(scratch, forest, tops.unionByName(opened))
+        self._forest, self._tops, self._trees = forest, tops.unionByName(opened), None
+        # The links taken out where circles were opened; no root leads to them.
+        self._opening = single.join(opened.select(F.col("node").alias("child")), "child", "left_semi")
         junction = degree.filter("n > 1").select(F.col("node").alias("child"))
         place = self.tours.select(F.col("node").alias("parent"), F.col("top").alias("src"), F.col("depth"), F.col("entry"))
         self.steps = scratch.save(edges.join(junction, "child").join(place, "parent").select("src", F.col("child").alias("dst"), (F.col("depth") + 1).alias("weight"), F.col("parent").alias("via"), "entry"))
@@ -220,16 +256,36 @@ class Hierarchy:
         sizes = whole.groupBy("label").agg(F.min("node").alias("first"), F.count(F.lit(1)).cast("int").alias("size"))
         return whole.join(sizes, "label").select("node", "first", "size").unionByName(self.circles)
 
+    def _tree_paths(self) -> DataFrame:
+        if self._trees is None:
+            self._trees = _tree_paths(self.scratch, self._forest, self._tops)
+        return self._trees
+
     def descendants(self) -> DataFrame:
-        """Within the trees of single parents, each node's descendants by its interval: ancestor, node, distance."""
-        a, d = self.tours.alias("a"), self.tours.alias("d")
-        inside = (F.col("a.top") == F.col("d.top")) & (F.col("a.entry") < F.col("d.entry")) & (F.col("d.exit") < F.col("a.exit"))
-        return a.join(d, inside).select(F.col("a.node").alias("ancestor"), F.col("d.node").alias("node"), (F.col("d.depth") - F.col("a.depth")).alias("distance"))
+        """All nodes that depend on a node, with the fewest links between: ancestor, node, distance.
 
-    def paths(self, separator: str = " > ") -> DataFrame:
-        """Each tree node's path from its top: node, top, depth, path."""
-        up = self.descendants().groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("o"), "ancestor"))).alias("chain"))
-        chain = F.transform(F.col("chain"), lambda x: x["ancestor"])
-        return self.tours.join(up, "node", "left").select("node", "top", "depth", F.concat_ws(separator, F.coalesce(chain, F.array().cast("array<string>")), F.array("node")).alias("path"))
+        Nodes on a circle depend on themselves, at the circle's length. Within a tree the pairs are the names of the tree paths;
+        all others lead through a step below the ancestor to a top that is, or leads to, the top of the node.
+        """
+        trees = self._tree_paths()
+        named = trees.select("node", "top", F.size("names").alias("n"), F.posexplode("names").alias("i", "ancestor"))
+        inside = named.filter("ancestor <> node").select("ancestor", "node", (F.col("n") - 1 - F.col("i")).alias("distance"))
+        closing = self._opening.select(F.col("parent").alias("via"), F.col("child").alias("dst"))
+        steps = self.scratch.save(self.steps.select("via", "dst").unionByName(closing).join(named.select(F.col("node").alias("via"), "top", "ancestor", (F.col("n") - F.col("i")).alias("weight")), "via"))
+        between = _routes(self.scratch, steps.select(F.col("dst").alias("node")).distinct(), steps.filter("ancestor = top").select(F.col("top").alias("src"), "dst", "weight"))
+        down = steps.join(between.select(F.col("root").alias("dst"), F.col("top").alias("to_top"), "dist"), "dst")
+        down = down.groupBy("ancestor", F.col("top").alias("own_top"), F.col("to_top").alias("top")).agg(F.min(F.col("weight") + F.col("dist")).alias("weight"))
+        # Below a node in its own tree the way through the tree is the shortest, and stands in inside.
+        across = down.join(trees, "top").filter((F.col("own_top") != F.col("top")) | (F.col("ancestor") == F.col("node")) | ~F.array_contains("names", F.col("ancestor")))
+        return inside.unionByName(across.select("ancestor", "node", (F.col("weight") + F.size("names") - 1).alias("distance")))
 
+    def paths(self, separator: str = " > ") -> DataFrame:
+        """A path to each node from every root that leads to it: root, node, n_links, path.
 
+        It has the fewest links, as in routes, and is the alphabetically first of those.
+        """
+        trees = self._tree_paths()
+        legs = self.steps.select("via", "dst").join(trees.select(F.col("node").alias("via"), F.col("top").alias("src"), F.col("names").alias("leg")), "via").select("src", "dst", "leg")
+        before = _top_paths(self.scratch, self.roots, legs)
+        whole = before.join(trees, "top").select("root", "node", F.concat("before", "names").alias("names"))
+        return whole.select("root", "node", (F.size("names") - 1).alias("n_links"), F.array_join("names", separator).alias("path"))

@@ -54,9 +54,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path and depth of each table in the tree of tables with one link, from the root or the table with several links above it."""
+    """Path of each table from every root table that leads to it, with its number of links."""
     links, names = table_links(spark, sf_dir)
-    return Hierarchy(links, nodes=names).paths().select(F.col("node").alias("table_name"), F.col("top").alias("top_name"), "depth", "path")
+    return Hierarchy(links, nodes=names).paths().select(F.col("node").alias("table_name"), F.col("root").alias("root_name"), "n_links", "path")
+
+
+def p2_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables that depend on each table, with the fewest links between."""
+    links, names = table_links(spark, sf_dir)
+    return Hierarchy(links, nodes=names).descendants().select(F.col("ancestor").alias("table_name"), F.col("node").alias("dependent_name"), F.col("distance").alias("n_links"))
 
 
 def table_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +100,4 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_report(found).select(F.col("ref_key").alias("ref_table"), "ref_month", "reason", "n_references")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p2_paths": p2_paths, "p5_report": p5_report}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p2_paths": p2_paths, "p2_dependents": p2_dependents, "p5_report": p5_report}

@@ -69,3 +69,43 @@ def test_tours_and_paths(spark):
 @pytest.mark.parametrize("edges", [[], [("s", "s")]])
 def test_nothing_to_link(spark, edges):
     check(spark, edges)
+
+
+def test_paths_and_descendants_cross_junctions_and_circles(spark):
+    edges = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("f", "e"), ("f", "r2"), ("g", "f"), ("e2", "d")]  # d and f are junctions
+    edges += [("p", "q"), ("q", "s"), ("s", "p"), ("t", "p"), ("f", "t")]  # a circle nothing leads into, and a junction below it
+    edges += [("j", "g"), ("j", "l"), ("k", "j"), ("l", "k"), ("m", "k")]  # a circle below a tree
+    h = check(spark, edges)
+    paths = {(r.root, r.node): (r.n_links, r.path) for r in h.paths().collect()}
+    assert paths["a", "d"] == (2, "a > b > d") and paths["a", "g"] == (5, "a > b > d > e > f > g") and paths["r2", "m"] == (5, "r2 > f > g > j > k > m")
+    routes, _ = brute(edges, {x for e in edges for x in e})
+    assert {(*k, n) for k, (n, _) in paths.items()} == routes and h.paths().count() == len(routes)
+    up = set(edges)
+    for (root, node), (n, path) in paths.items():
+        names = path.split(" > ")
+        assert names[0] == root and names[-1] == node and len(names) == n + 1 and all((y, x) in up for x, y in zip(names, names[1:]))
+    rows = [tuple(r) for r in h.descendants().select("ancestor", "node", "distance").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == closure(edges)
+
+
+def closure(edges):
+    kids = defaultdict(set)
+    for c, p in edges:
+        kids[p].add(c)
+    found = set()
+    for a in {p for _, p in edges}:
+        dist, todo = {}, deque([(a, 0)])
+        while todo:
+            u, k = todo.popleft()
+            for v in kids[u] - dist.keys():
+                dist[v] = k + 1
+                todo.append((v, k + 1))
+        found |= {(a, v, k) for v, k in dist.items()}
+    return found
+
+
+def test_descendants_of_random_graphs(spark):
+    rng = random.Random(5)
+    edges = {(f"n{i}", f"n{rng.randint(max(0, i - 4), i - 1)}") for i in range(1, 30)} | {(f"n{a}", f"n{b}") for a, b in (rng.sample(range(30), 2) for _ in range(6))}
+    h = Hierarchy(spark.createDataFrame(sorted(edges), "child string, parent string"))
+    assert {tuple(r) for r in h.descendants().select("ancestor", "node", "distance").collect()} == closure(edges)
