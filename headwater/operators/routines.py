@@ -2,17 +2,119 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.functions import rules
-from headwater.operators import cleaning
+from headwater.operators import cleaning, parser
 
 #: Prefixes of the systems' own routines, which count as no calls.
 SYSTEM_CALLS = r"(?i)^(?:sp_|xp_|fn_|sys\.|dbms_|utl_)"
 _NAME = r"((?:[\w$#@]+|\"[^\"]+\"|\[[^\]]+\]|`[^`]+`)(?:\.(?:[\w$#@]+|\"[^\"]+\"|\[[^\]]+\]|`[^`]+`))*)"
 
 
+#: Functions with a FROM of their own.
+_FROM_CALLS = {"EXTRACT", "TRIM", "SUBSTRING", "OVERLAY"}
+_STATEMENT = re.compile(r"(?i)\s*(?:SELECT|INSERT|UPDATE|DELETE|MERGE|WITH|CREATE|REPLACE|BEGIN|DECLARE)\b")
+#: Words that end the condition of a join.
+_BEHIND_ON = (parser._CLAUSES | parser._JOINS | parser._SET_OPS | {"SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "WITH", "CREATE", "ALTER", "DROP", "TRUNCATE", "EXEC", "EXECUTE", "CALL", "PERFORM", "DECLARE", "IF", "BEGIN", "END", "THEN", "ELSE", "LOOP", "WHILE", "RETURN", "PRINT"}) - {"ON"}
+_NO_TABLES = {"select", "values", "set", "where", "table", "only", "lateral", "unnest", "dual", "as", "on", "of", "or"}
+
+
+class _Tables:
+    """Tables in FROM, JOIN and USING of a routine's text: their names in lower case, and the aliases by position."""
+
+    def __init__(self, body: str):
+        self.p = p = parser.Parser(re.sub(r"\$\w*\$", " ", body))  # a body in dollar quotes is SQL
+        self.reads: list[str] = []
+        self.aliases: list[tuple[int, str, str]] = []
+        self.taken: set[int] = set()
+        own_from: list[bool] = []
+        for i, t in enumerate(p.ts):
+            before = p.up(i - 1)
+            if t.text == "(":
+                own_from.append(before in _FROM_CALLS)
+            elif t.text == ")" and own_from:
+                own_from.pop()
+            elif t.kind == "string" and _STATEMENT.match(t.text.lstrip("NnEe").strip("'")):  # a dynamic statement
+                self.reads += _Tables(t.text.lstrip("NnEe").strip("'").replace("''", "'")).reads
+            if t.kind != "word" or before == ".":
+                continue
+            w = t.upper
+            if w in ("FROM", "JOIN", "USING") and not (w == "FROM" and (own_from[-1:] == [True] or before == "DISTINCT" or before in ("DELETE", "DEL"))):
+                self._list(i + 1, len(p.ts), w != "USING")
+            elif w in ("FROM", "INTO", "UPDATE", "TABLE", "CALL", "EXEC", "EXECUTE", "PERFORM"):
+                self._one(i + 2 if p.up(i + 1) == "ONLY" else i + 1)
+
+    def _one(self, i: int) -> tuple[str | None, int]:
+        """The table at i with its alias, and the index behind both."""
+        name, j = self.p.name(i, len(self.p.ts))
+        if name is None:
+            return None, i
+        self.taken.update(range(i, j))
+        table, end = name.lower(), len(self.p.ts)
+        if self.p.ts[j : j + 1] and self.p.ts[j].text == "(" and self.p.ts[i - 1].upper in ("FROM", "JOIN", ","):  # a table function
+            j = self.p.match(j, end)
+        if self.p.up(j) != "WITH":
+            alias, j = self.p.alias(j, end)
+            self.aliases.append((i, (alias or table.rsplit(".", 1)[-1]).lower(), table))
+        if self.p.up(j) == "WITH" and self.p.up(j + 1) == "(":  # hints
+            j = self.p.match(j + 1, end)
+        return table, j
+
+    def _list(self, i: int, end: int, brackets: bool) -> None:
+        """The tables from i on that commas separate, also behind derived tables and the conditions of joins."""
+        p = self.p
+        while i < end:
+            while p.up(i) in ("ONLY", "LATERAL"):
+                i += 1
+            if i < end and p.ts[i].text == "(":
+                k = p.match(i, end)
+                if brackets and p.is_name(i + 1) and p.up(i + 1) not in ("SELECT", "WITH", "SEL", "VALUES"):
+                    self._list(i + 1, k - 1, True)
+                _, i = p.alias(k, end)
+            else:
+                table, i = self._one(i)
+                if table is None:
+                    return
+                if table not in _NO_TABLES:
+                    self.reads.append(table)
+            if p.up(i) == "ON":
+                i = self._behind_condition(i + 1, end)
+            if i >= end or p.ts[i].text != ",":
+                return
+            i += 1
+
+    def _behind_condition(self, i: int, end: int) -> int:
+        cases = 0
+        while i < end:
+            t, w = self.p.ts[i], self.p.up(i)
+            if t.text == "(":
+                i = self.p.match(i, end)
+                continue
+            if w == "CASE":
+                cases += 1
+            elif w == "END" and cases:
+                cases -= 1
+            elif not cases and (t.text in (")", ",", ";") or w in _BEHIND_ON and t.kind == "word" and not (w in ("LEFT", "RIGHT") and self.p.up(i + 1) == "(")):
+                return i
+            i += 1
+        return i
+
+
+def _read_names(body: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def read(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in bodies:
+            yield batch.map(lambda b: sorted(set(_Tables(b).reads)))
+
+    return read(body)
+
+
 def _names(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     clean = F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"[\[\]\"`]", "")))
@@ -43,13 +145,12 @@ def routine_facts(routines: DataFrame, dialect: str | Column = "tsql") -> DataFr
     text = cleaning.strip_comments(F.coalesce("definition", F.lit("")))
     rows = routines.select("name", F.explode(F.array(text)).alias("body"))
     writes = _names(F.col("body"), rf"(?i)\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|MERGE\s+INTO|TRUNCATE\s+TABLE)\s+(?:ONLY\s+)?{_NAME}")
-    reads = _names(F.col("body"), rf"(?i)\b(?:FROM|JOIN|USING)\s+(?:ONLY\s+|LATERAL\s+)?{_NAME}")
-    deletes = _names(F.col("body"), rf"(?i)\bDELETE\s+FROM\s+{_NAME}")
+    reads = _read_names(F.col("body"))
     ctes = _names(F.col("body"), r"(?i)(?:\bWITH|,)\s*(?:RECURSIVE\s+)?(\w+)\s*(?:\([^()]*\)\s*)?AS\s*\(")
     temps = F.array_sort(F.array_distinct(F.flatten(F.array(*[cleaning.temp_names(F.col("body"), d) for d in rules.DIALECTS]))))
     calls = _names(F.col("body"), rf"(?i)\b(?:EXEC(?:UTE)?|CALL|PERFORM)\s+(?!IMMEDIATE\b|PROCEDURE\b|FUNCTION\b){_NAME}")
     facts = rows.select(
-        "name", "body", writes.alias("writes"), F.array_except(F.array_except(reads, ctes), F.array_except(deletes, F.array())).alias("reads"), temps.alias("temps"),
+        "name", "body", writes.alias("writes"), F.array_except(reads, ctes).alias("reads"), temps.alias("temps"),
         F.filter(calls, lambda x: ~x.rlike(SYSTEM_CALLS) & ~x.startswith("@")).alias("calls"), F.size(F.filter(F.split("body", ";"), lambda x: F.length(F.trim(x)) > 5)).alias("n_statements"), F.size(parameters(F.col("body"))).alias("n_parameters"),
     )
     score = complexity(F.col("n_statements"), F.col("n_parameters"), F.size("reads"), F.size("writes"), F.lit(0), F.size("temps"), F.size("calls"), F.lit(0))
