@@ -110,6 +110,58 @@ def _body_open(ts: list[Token], first: int, i: int) -> bool:
     return bool(seen & {"AS", "IS", "DECLARE"}) and any(t.upper == "BEGIN" for t in ts[i : i + 400])
 
 
+#: Words that start a statement within a routine.
+_IN_BODY = _STARTS - {"DECLARE", "REPLACE"} | {"SEL", "INS", "UPD", "DEL", "PERFORM"}
+#: Words of control that end the statement before them.
+_CONTROL = {"BEGIN", "IF", "ELSIF", "ELSEIF", "LOOP", "WHILE", "EXCEPTION", "DECLARE", "RETURN", "PRINT", "RAISE", "END"}
+
+
+def routine_statements(ts: list[Token]) -> list[tuple[int, int]]:
+    """Spans of tokens of the statements in a routine's text, in blocks or brackets or not; statements of control are left out."""
+    spans: list[tuple[int, int]] = []
+    first, inner, depth, cases, head = -1, 0, 0, 0, True
+
+    def close(upto: int) -> None:
+        nonlocal first, cases
+        if 0 <= first < upto:
+            spans.append((first, upto))
+        first, cases = -1, 0
+
+    for i, t in enumerate(ts):
+        if t.kind == "op":
+            if t.text == "(":
+                depth += 1
+            elif t.text == ")":
+                depth -= 1
+                if first >= 0 and depth < inner:
+                    close(i)
+            elif t.text == ";" and depth <= (inner if first >= 0 else depth):
+                close(i)
+            continue
+        if t.kind != "word" or first >= 0 and depth > inner or i and ts[i - 1].text == ".":
+            continue
+        w, before = t.upper, ts[i - 1].upper if i else ""
+        if head:  # up to the body
+            head = w not in ("AS", "IS", "BEGIN", "DECLARE")
+            continue
+        if w == "CASE" and first >= 0:
+            cases += 1
+        elif w == "END" and cases:
+            cases -= 1
+        elif cases:
+            continue
+        elif w in _CONTROL and not (w in ("IF", "LOOP") and ts[first].upper in ("CREATE", "DROP", "ALTER")) or w in ("THEN", "ELSE") and ts[first].upper != "MERGE":
+            close(i)
+        elif w in _IN_BODY and (first < 0 or before not in _GOES_ON and not _continues(ts, first, i, w)):
+            if first < 0 and w == "EXECUTE" and ts[i + 1 : i + 2] and ts[i + 1].upper == "AS":
+                continue
+            if first < 0 or not (w == "WITH" and ts[i + 1 : i + 2] and (ts[i + 1].text == "(" or ts[i + 1].upper in ("TIES", "CHECK", "NO", "DATA"))):
+                close(i)
+                first, inner = i, depth
+    close(len(ts))
+    return spans
+
+
 def _continues(ts: list[Token], first: int, i: int, word: str) -> bool:
     """Whether a statement word belongs to the statement that is open: the query of an INSERT, CTE, view or MERGE branch."""
     opener = ts[first].upper

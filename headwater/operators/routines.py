@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.functions import rules
-from headwater.operators import cleaning, parser
+from headwater.operators import cleaning, lexer, parser
 
 #: Prefixes of the systems' own routines, which count as no calls.
 SYSTEM_CALLS = r"(?i)^(?:sp_|xp_|fn_|sys\.|dbms_|utl_)"
@@ -106,13 +106,46 @@ class _Tables:
         return i
 
 
-def _read_names(body: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def read(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def column_refs(self) -> list[str]:
+        """References to columns as table.column, once for each time: names with a qualifier, and the columns an INSERT lists.
+
+        A qualifier is resolved by the aliases of its own statement. DELETE statements, variables, tables and functions give none.
+        """
+        p, out = self.p, []
+        for first, end in lexer.routine_statements(p.ts):
+            if p.up(first) in ("DELETE", "DEL", "CALL", "EXEC", "EXECUTE", "PERFORM", "CREATE", "ALTER", "DROP", "TRUNCATE"):
+                continue
+            names = {alias: table for i, alias, table in self.aliases if first <= i < end}
+            i, target = first, None
+            while i < end:
+                if p.up(i) == "INTO" and p.up(i - 1) in ("INSERT", "INS"):
+                    target, j = p.name(i + 1, end)
+                    if target and j < end and p.ts[j].text == "(" and p.up(j + 1) not in ("SELECT", "WITH", "SEL", "VALUES"):
+                        k = p.match(j, end)
+                        out += [f"{target}.{parser.unquote(p.ts[b - 1].text)}".lower() for a, b in p.commas(j + 1, k - 1) if a < b]
+                        i = k
+                        continue
+                if not p.is_name(i):
+                    i += 1
+                    continue
+                name, j = p.name(i, end)
+                if "." in name and i not in self.taken and not name.startswith("@") and not (j < end and p.ts[j].text == "("):
+                    qualifier, _, column = name.lower().rpartition(".")
+                    out.append(f"{names.get(qualifier, qualifier)}.{column}")
+                i = max(j, i + 1)
+        return out
+
+
+def _scanned(body: Column) -> Column:
+    """Tables read and columns referred to: struct of reads and column_refs."""
+
+    @F.pandas_udf("struct<reads: array<string>, column_refs: array<string>>")
+    def scan(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in bodies:
-            yield batch.map(lambda b: sorted(set(_Tables(b).reads)))
+            found = [_Tables(b) for b in batch]
+            yield pd.DataFrame({"reads": [sorted(set(t.reads)) for t in found], "column_refs": [t.column_refs() for t in found]})
 
-    return read(body)
+    return scan(body)
 
 
 def _names(text: Column, pattern: str) -> Column:
@@ -137,23 +170,23 @@ def parameters(definition: Column) -> Column:
 
 
 def routine_facts(routines: DataFrame, dialect: str | Column = "tsql") -> DataFrame:
-    """Facts per routine. routines: name, definition. Result: name and arrays reads, writes, temps, calls; counts and complexity.
+    """Facts per routine. routines: name, definition. Result: name and arrays reads, writes, temps, calls, column_refs; counts and complexity.
 
     A table that is written isn't read by the same routine unless it also stands in a FROM, JOIN or USING. Null definitions have
     empty facts.
     """
     text = cleaning.strip_comments(F.coalesce("definition", F.lit("")))
-    rows = routines.select("name", F.explode(F.array(text)).alias("body"))
+    rows = routines.select("name", F.explode(F.array(text)).alias("body")).withColumn("scan", _scanned(F.col("body")))
     writes = _names(F.col("body"), rf"(?i)\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|MERGE\s+INTO|TRUNCATE\s+TABLE)\s+(?:ONLY\s+)?{_NAME}")
-    reads = _read_names(F.col("body"))
     ctes = _names(F.col("body"), r"(?i)(?:\bWITH|,)\s*(?:RECURSIVE\s+)?(\w+)\s*(?:\([^()]*\)\s*)?AS\s*\(")
     temps = F.array_sort(F.array_distinct(F.flatten(F.array(*[cleaning.temp_names(F.col("body"), d) for d in rules.DIALECTS]))))
     calls = _names(F.col("body"), rf"(?i)\b(?:EXEC(?:UTE)?|CALL|PERFORM)\s+(?!IMMEDIATE\b|PROCEDURE\b|FUNCTION\b){_NAME}")
     facts = rows.select(
-        "name", "body", writes.alias("writes"), F.array_except(reads, ctes).alias("reads"), temps.alias("temps"),
+        "name", "body", writes.alias("writes"), F.array_except("scan.reads", ctes).alias("reads"), temps.alias("temps"),
         F.filter(calls, lambda x: ~x.rlike(SYSTEM_CALLS) & ~x.startswith("@")).alias("calls"), F.size(F.filter(F.split("body", ";"), lambda x: F.length(F.trim(x)) > 5)).alias("n_statements"), F.size(parameters(F.col("body"))).alias("n_parameters"),
+        F.size(F.filter(parameters(F.col("body")), lambda p: p["is_output"])).alias("n_outputs"), F.col("scan.column_refs").alias("column_refs"),
     )
-    score = complexity(F.col("n_statements"), F.col("n_parameters"), F.size("reads"), F.size("writes"), F.lit(0), F.size("temps"), F.size("calls"), F.lit(0))
+    score = complexity(F.col("n_statements"), F.col("n_parameters"), F.size("reads"), F.size("writes"), F.size("column_refs"), F.size("temps"), F.size("calls"), F.col("n_outputs"))
     return facts.drop("body").withColumn("complexity", score)
 
 

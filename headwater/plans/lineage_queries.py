@@ -308,9 +308,9 @@ def top_dependencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def routine_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Statements and tables of each routine."""
+    """Statements, tables, references to columns and complexity of each routine."""
     p = T(spark, d, "catalog_procedures").filter("definition is not null").select(F.col("procedure_id").cast("string").alias("name"), "definition").distinct()
-    return routines.routine_facts(p).select("name", F.size("reads").alias("n_reads"), F.size("writes").alias("n_writes"), F.size("calls").alias("n_calls"), F.array_join("writes", ",").alias("writes"))
+    return routines.routine_facts(p).select("name", F.size("reads").alias("n_reads"), F.size("writes").alias("n_writes"), F.size("calls").alias("n_calls"), F.array_join("writes", ",").alias("writes"), F.size("column_refs").alias("n_column_refs"), "n_outputs", "complexity")
 
 
 def routine_parameters(spark: SparkSession, d: str) -> DataFrame:

@@ -17,3 +17,16 @@ def test_reads_of_deleted_and_listed_tables(spark):
     assert a.reads == ["dw.t", "s"] and a.writes == ["dw.t", "only_gone"]
     assert b.reads == ["a", "b", "c", "d", "e", "g", "k.l", "n", "q"]
     assert c.reads == ["y"] and d.reads == []
+
+
+def test_column_references_and_outputs_count_for_complexity(spark):
+    head = "CREATE PROCEDURE dbo.p (@a INT, @n INT OUTPUT) AS BEGIN"
+    a, b = facts(
+        spark,
+        f"{head} INSERT INTO dw.o (x, y) SELECT s.x, t.y FROM stg.s1 s JOIN t ON t.k = s.k\nUPDATE u SET u.v = s.v FROM dw.u u JOIN s2 s ON 1 = 1\nDELETE FROM d WHERE d.k = 1 END",
+        f"{head} IF EXISTS (SELECT 1 FROM a x WHERE x.k = @a) BEGIN MERGE INTO d USING s ON d.k = s.k WHEN MATCHED THEN UPDATE SET v = CASE WHEN s.v > 0 THEN 1 ELSE s.w END; END; SET @n = 1; END",
+    )
+    assert a.column_refs == ["dw.o.x", "dw.o.y", "stg.s1.x", "t.y", "t.k", "stg.s1.k", "dw.u.v", "s2.v"] and a.n_outputs == 1 and a.n_parameters == 2
+    assert b.column_refs == ["a.k", "d.k", "s.k", "s.v", "s.w"]
+    parts = a.n_statements * 0.5 + 2 * 0.3 + len(a.reads) * 0.2 + len(a.writes) * 0.5 + 8 * 0.1 + len(a.temps) * 0.4 + len(a.calls) * 0.6 + 1 * 0.4
+    assert a.complexity == round(parts, 2)
