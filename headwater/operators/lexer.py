@@ -66,6 +66,10 @@ def statements(sql: str, dialect: str = "tsql") -> list[str]:
     out: list[str] = []
     ts = tokens(sql)
     first, depth, blocks, routine, started_with = 0, 0, 0, False, ""
+    begins = _begins_ahead(ts)
+    # package: its own block is open; bodies: nested routines and the routine itself whose BEGIN is still to come; header: of a routine;
+    # bare: the body is no block, so in T-SQL it goes on to the end of the batch.
+    package, bodies, header, bare = False, 0, False, False
 
     def close(upto: int) -> None:
         if first < upto:
@@ -76,21 +80,41 @@ def statements(sql: str, dialect: str = "tsql") -> list[str]:
     for i, t in enumerate(ts):
         if i == first:
             routine, blocks, depth, started_with = False, 0, 0, t.upper
+            package, bodies, header, bare = False, 0, False, False
         if t.kind == "op":
             if t.text == "(":
                 depth += 1
             elif t.text == ")":
                 depth = max(0, depth - 1)
-            elif t.text == ";" and depth == 0 and blocks <= 0 and not (routine and _body_open(ts, first, i)):
-                close(i)
-                first = i + 1
+            elif t.text == ";" and depth == 0:
+                header = header and blocks <= 0 and not (package or bodies)
+                open_body = bodies > 0 and begins[i] or bare and not _starts_routine(ts, i + 1)
+                if blocks <= 0 and not (routine and open_body):
+                    close(i)
+                    first = i + 1
             continue
+        if t.kind == "string" and t.text.startswith("$"):  # the body
+            bodies, header = 0, False
         if t.kind != "word" or depth:
             continue
         w = t.upper
         if w in _ROUTINES and i - first <= 6 and started_with in ("CREATE", "REPLACE", "ALTER"):
-            routine = True
-        if w == "BEGIN" and (i + 1 >= len(ts) or ts[i + 1].upper not in ("TRANSACTION", "TRAN", "WORK", ";")) or w == "CASE":
+            routine = header = True
+        elif routine and w in ("PROCEDURE", "FUNCTION") and (package or bodies or blocks > 0):
+            header = True
+        elif header and w in ("AS", "IS", "DECLARE") and ts[i - 1].upper not in ("EXECUTE", "EXEC"):
+            header, bare = False, bare or dialect == "tsql" and not (i + 1 < len(ts) and (_is_begin(ts, i + 1) or ts[i + 1].kind == "string"))
+            if any(x.upper == "PACKAGE" for x in ts[first : first + 6]) and not package:
+                package, blocks = True, blocks + 1
+            else:
+                bodies += 1
+        if _is_begin(ts, i):
+            header = False
+            if package and blocks == 1 and not bodies:  # statements of the package itself, which its END closes
+                continue
+            bodies = max(0, bodies - 1)
+            blocks += 1
+        elif w == "CASE":
             blocks += 1
         elif w == "END" and (i + 1 >= len(ts) or ts[i + 1].upper not in ("IF", "LOOP", "WHILE", "FOR", "REPEAT")):
             blocks -= 1
@@ -102,12 +126,24 @@ def statements(sql: str, dialect: str = "tsql") -> list[str]:
     return out
 
 
-def _body_open(ts: list[Token], first: int, i: int) -> bool:
-    """Whether a routine's body is still to come at this semicolon: AS or IS without BEGIN yet, and a BEGIN later."""
-    seen = {t.upper for t in ts[first:i] if t.kind == "word"}
-    if "BEGIN" in seen or any(t.kind == "string" and t.text.startswith("$") for t in ts[first:i]):
-        return False
-    return bool(seen & {"AS", "IS", "DECLARE"}) and any(t.upper == "BEGIN" for t in ts[i : i + 400])
+def _is_begin(ts: list[Token], i: int) -> bool:
+    return ts[i].upper == "BEGIN" and (i + 1 >= len(ts) or ts[i + 1].upper not in ("TRANSACTION", "TRAN", "WORK", ";"))
+
+
+def _starts_routine(ts: list[Token], i: int) -> bool:
+    return i < len(ts) and ts[i].upper in ("CREATE", "REPLACE", "ALTER") and any(t.upper in _ROUTINES for t in ts[i + 1 : i + 7])
+
+
+def _begins_ahead(ts: list[Token]) -> list[bool]:
+    """For each token, whether a BEGIN follows before the next routine is created."""
+    ahead, out = False, [False] * len(ts)
+    for i in range(len(ts) - 1, -1, -1):
+        out[i] = ahead
+        if _is_begin(ts, i):
+            ahead = True
+        elif ts[i].upper in ("CREATE", "REPLACE", "ALTER") and (i == 0 or ts[i - 1].text in (";", "/") or ts[i - 1].upper == "END") and _starts_routine(ts, i):
+            ahead = False
+    return out
 
 
 #: Words that start a statement within a routine.

@@ -1,4 +1,4 @@
-from headwater.operators import routines
+from headwater.operators import lexer, routines
 
 
 def facts(spark, *bodies):
@@ -30,3 +30,17 @@ def test_column_references_and_outputs_count_for_complexity(spark):
     assert b.column_refs == ["a.k", "d.k", "s.k", "s.v", "s.w"]
     parts = a.n_statements * 0.5 + 2 * 0.3 + len(a.reads) * 0.2 + len(a.writes) * 0.5 + 8 * 0.1 + len(a.temps) * 0.4 + len(a.calls) * 0.6 + 1 * 0.4
     assert a.complexity == round(parts, 2)
+
+
+def test_routines_stay_whole():
+    declared = " ".join(f"v{i} NUMBER := {i};" for i in range(150))
+    long = f"CREATE OR REPLACE PROCEDURE p IS {declared} BEGIN INSERT INTO a SELECT 1 FROM b; END"
+    nested = "CREATE PROCEDURE p IS PROCEDURE q IS BEGIN DELETE FROM a; END; x NUMBER; BEGIN q; DELETE FROM b; END"
+    package = "CREATE PACKAGE BODY k AS PROCEDURE f; x NUMBER; PROCEDURE p IS BEGIN DELETE FROM a; END; FUNCTION q RETURN NUMBER IS BEGIN RETURN 1; END; BEGIN DELETE FROM c; END k"
+    spec = "CREATE PACKAGE k AS PROCEDURE f(a NUMBER); x NUMBER; END k"
+    for text in (long, nested, package, spec):
+        assert lexer.statements(f"{text};\nSELECT 1 FROM t;", "oracle") == [text, "SELECT 1 FROM t"]
+    bare = "CREATE PROC p AS SELECT a INTO #t FROM b; INSERT INTO c SELECT a FROM #t; DELETE FROM d"
+    assert lexer.statements(bare, "tsql") == [bare]
+    assert lexer.statements("CREATE MACRO m AS (SELECT 1 FROM a;); CREATE PROCEDURE p() BEGIN DELETE FROM b; END;", "teradata") == ["CREATE MACRO m AS (SELECT 1 FROM a;)", "CREATE PROCEDURE p() BEGIN DELETE FROM b; END"]
+    assert lexer.statements("CREATE FUNCTION f() RETURNS int AS $$ BEGIN RETURN 1; END $$ LANGUAGE plpgsql; SELECT 1 FROM t; DO $$ BEGIN END $$;", "postgres")[1] == "SELECT 1 FROM t"
