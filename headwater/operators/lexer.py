@@ -155,7 +155,8 @@ _CONTROL = {"BEGIN", "IF", "ELSIF", "ELSEIF", "LOOP", "WHILE", "EXCEPTION", "DEC
 def routine_statements(ts: list[Token]) -> list[tuple[int, int]]:
     """Spans of tokens of the statements in a routine's text, in blocks or brackets or not; statements of control are left out."""
     spans: list[tuple[int, int]] = []
-    first, inner, depth, cases, head = -1, 0, 0, 0, True
+    # lead: the first word of the statement, behind its WITH clause if it has one.
+    first, lead, inner, depth, cases, head = -1, -1, 0, 0, 0, True
 
     def close(upto: int) -> None:
         nonlocal first, cases
@@ -186,14 +187,17 @@ def routine_statements(ts: list[Token]) -> list[tuple[int, int]]:
             cases -= 1
         elif cases:
             continue
-        elif w in _CONTROL and not (w in ("IF", "LOOP") and ts[first].upper in ("CREATE", "DROP", "ALTER")) or w in ("THEN", "ELSE") and ts[first].upper != "MERGE":
+        elif w in _CONTROL and not (w in ("IF", "LOOP") and ts[lead].upper in ("CREATE", "DROP", "ALTER")) or w in ("THEN", "ELSE") and ts[lead].upper != "MERGE":
             close(i)
-        elif w in _IN_BODY and (first < 0 or before not in _GOES_ON and not _continues(ts, first, i, w)):
+        elif w in _IN_BODY and first >= 0 and (before in _GOES_ON or ts[lead].upper != "MERGE" and _continues(ts, lead, i, w)):
+            if ts[lead].upper == "WITH":
+                lead = i
+        elif w in _IN_BODY:
             if first < 0 and w == "EXECUTE" and ts[i + 1 : i + 2] and ts[i + 1].upper == "AS":
                 continue
             if first < 0 or not (w == "WITH" and ts[i + 1 : i + 2] and (ts[i + 1].text == "(" or ts[i + 1].upper in ("TIES", "CHECK", "NO", "DATA"))):
                 close(i)
-                first, inner = i, depth
+                first, lead, inner = i, i, depth
     close(len(ts))
     return spans
 

@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from headwater.functions import rules
 from headwater.operators import cleaning
-from headwater.operators.parser import parse_statement
+from headwater.operators.parser import Statement, parse_statement
 
 _SOURCE = "struct<src_table: string, src_column: string, cte_reference: string>"
-PARSED = (
-    "struct<statement_type: string, statement_subtype: string, target_table: string, source_tables: array<string>, "
+_FACTS = (
+    "statement_type: string, statement_subtype: string, target_table: string, source_tables: array<string>, "
     f"columns: array<struct<name: string, ordinal: int, transform: string, expression: string, is_aggregate: boolean, is_calculated: boolean, is_placeholder: boolean, sources: array<{_SOURCE}>, resolved: array<{_SOURCE}>>>, "
-    "ctes: array<struct<name: string, columns: array<string>, source_tables: array<string>, snippet: string>>, returning: array<string>, parse_error: string>"
+    "ctes: array<struct<name: string, columns: array<string>, source_tables: array<string>, snippet: string>>, returning: array<string>"
 )
+#: body: the statements of a routine.
+PARSED = f"struct<{_FACTS}, body: array<struct<{_FACTS}>>, parse_error: string>"
 
 
 def _as_dict(sql: str | None) -> dict | None:
@@ -26,7 +28,11 @@ def _as_dict(sql: str | None) -> dict | None:
     try:
         st = parse_statement(sql)
     except Exception as e:  # one bad statement must not fail a job; it becomes a row of kind ERROR
-        return {"statement_type": "ERROR", "statement_subtype": None, "target_table": None, "source_tables": [], "columns": [], "ctes": [], "returning": [], "parse_error": f"{type(e).__name__}: {e}"[:200]}
+        return {"statement_type": "ERROR", "statement_subtype": None, "target_table": None, "source_tables": [], "columns": [], "ctes": [], "returning": [], "body": [], "parse_error": f"{type(e).__name__}: {e}"[:200]}
+    return _facts(st) | {"body": [_facts(x) for x in st.body], "parse_error": "; ".join(st.errors)[:200] or None}
+
+
+def _facts(st: Statement) -> dict:
     src = lambda t, c, cte=None: {"src_table": t, "src_column": c, "cte_reference": cte}
     return {
         "statement_type": st.kind,
@@ -39,7 +45,6 @@ def _as_dict(sql: str | None) -> dict | None:
         ],
         "ctes": [{"name": n, "columns": cols, "source_tables": t, "snippet": s} for n, cols, t, s in st.ctes],
         "returning": st.returning,
-        "parse_error": None,
     }
 
 
@@ -48,7 +53,7 @@ def parsed(sql: Column) -> Column:
 
     @F.pandas_udf(PARSED)
     def parse(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        empty = {"statement_type": None, "statement_subtype": None, "target_table": None, "source_tables": None, "columns": None, "ctes": None, "returning": None, "parse_error": None}
+        empty = {"statement_type": None, "statement_subtype": None, "target_table": None, "source_tables": None, "columns": None, "ctes": None, "returning": None, "body": None, "parse_error": None}
         for batch in texts:
             yield pd.DataFrame([_as_dict(t) or empty for t in batch], columns=list(empty))
 
@@ -70,27 +75,38 @@ def analyze(corpus: DataFrame, dialect: str = "tsql", source_kind: str = "SCRIPT
     return rows.select("*", "p.*").drop("p").withColumn("stmt_id", F.xxhash64("file_path", "ord", "stmt_ord"))
 
 
+def _with_bodies(statements: DataFrame) -> DataFrame:
+    """The statements and those in the bodies of routines: stmt_id, file_path, statement_type, target_table, source_tables, columns, ctes.
+
+    What a routine's queries return, without a table of their own, stands under the routine's name.
+    """
+    facts = ["statement_type", "source_tables", "columns", "ctes"]
+    own = statements.select("stmt_id", "file_path", "target_table", *facts)
+    inner = statements.select("stmt_id", "file_path", F.col("target_table").alias("routine"), F.explode("body").alias("b"))
+    return own.unionByName(inner.select("stmt_id", "file_path", F.coalesce("b.target_table", "routine").alias("target_table"), *[F.col(f"b.{c}") for c in facts]))
+
+
 def column_defs(statements: DataFrame) -> DataFrame:
     """One row per target column of a statement."""
-    c = statements.select("stmt_id", "file_path", F.col("target_table").alias("dst_table"), F.explode("columns").alias("c"))
+    c = _with_bodies(statements).select("stmt_id", "file_path", F.col("target_table").alias("dst_table"), F.explode("columns").alias("c"))
     return c.select("stmt_id", "file_path", "dst_table", F.col("c.name").alias("dst_column"), "c.ordinal", F.col("c.transform").alias("transform_type"), "c.expression", "c.is_aggregate", "c.is_calculated", "c.is_placeholder")
 
 
 def column_edges(statements: DataFrame, resolved: bool = False) -> DataFrame:
     """One row per source of a target column; resolved goes through CTEs down to stored tables."""
-    c = statements.select("stmt_id", "file_path", F.col("target_table").alias("dst_table"), F.explode("columns").alias("c"))
+    c = _with_bodies(statements).select("stmt_id", "file_path", F.col("target_table").alias("dst_table"), F.explode("columns").alias("c"))
     s = c.select("stmt_id", "file_path", "dst_table", F.col("c.name").alias("dst_column"), F.explode("c.resolved" if resolved else "c.sources").alias("s"))
     return s.select("stmt_id", "file_path", "dst_table", "dst_column", "s.*").distinct()
 
 
 def table_edges(statements: DataFrame) -> DataFrame:
     """One row per table that a statement reads for its target. An edge of a table to itself is kept and flagged."""
-    e = statements.filter("target_table is not null").select("stmt_id", "file_path", F.explode("source_tables").alias("src_table"), F.col("target_table").alias("dst_table"))
+    e = _with_bodies(statements).filter("target_table is not null").select("stmt_id", "file_path", F.explode("source_tables").alias("src_table"), F.col("target_table").alias("dst_table")).distinct()
     return e.withColumn("is_self_edge", F.lower("src_table") == F.lower("dst_table"))
 
 
 def cte_table(statements: DataFrame) -> DataFrame:
-    return statements.select("stmt_id", "file_path", F.explode("ctes").alias("c")).select("stmt_id", "file_path", "c.*")
+    return _with_bodies(statements).select("stmt_id", "file_path", F.explode("ctes").alias("c")).select("stmt_id", "file_path", "c.*")
 
 
 def errors(statements: DataFrame) -> DataFrame:
@@ -126,7 +142,7 @@ def merged_columns(defs: DataFrame, edges: DataFrame) -> DataFrame:
 def table_registry(statements: DataFrame) -> DataFrame:
     """Tables over all statements: scripts, kinds of definition, number of dependencies and of dependents, temporary by name."""
     edges = table_edges(statements).filter("not is_self_edge")
-    target = statements.filter("target_table is not null").select(F.lower("target_table").alias("table_name"), "file_path", "statement_type", F.lit(1).alias("is_target"))
+    target = _with_bodies(statements).filter("target_table is not null").select(F.lower("target_table").alias("table_name"), "file_path", "statement_type", F.lit(1).alias("is_target"))
     source = edges.select(F.lower("src_table").alias("table_name"), "file_path", F.lit("REFERENCE").alias("statement_type"), F.lit(0).alias("is_target"))
     t = target.unionByName(source).groupBy("table_name").agg(F.array_sort(F.collect_set("file_path")).alias("scripts"), F.array_sort(F.collect_set("statement_type")).alias("definition_types"))
     out = edges.groupBy(F.lower("dst_table").alias("table_name")).agg(F.countDistinct(F.lower("src_table")).alias("depends_on_count"))
@@ -135,11 +151,15 @@ def table_registry(statements: DataFrame) -> DataFrame:
     return t.join(out, "table_name", "left").join(into, "table_name", "left").select("table_name", "scripts", "definition_types", zero("depends_on_count"), zero("referenced_by_count"), cleaning.is_temp_name(F.col("table_name"), "snowflake").alias("is_temp"))
 
 
+def _total(facts: str) -> Column:
+    return F.size(facts) + F.aggregate("body", F.lit(0), lambda n, b: n + F.size(b[facts]))
+
+
 def summary(statements: DataFrame) -> DataFrame:
     """One row of totals."""
     one = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
     return statements.agg(
         F.count(F.lit(1)).alias("total_statements"), F.countDistinct("file_path").alias("total_files"), F.countDistinct(F.lower("target_table")).alias("total_targets"),
-        one(F.size("columns")).alias("total_columns"), one(F.col("parse_error").isNotNull()).alias("parse_errors"), one(F.col("is_dynamic")).alias("dynamic_statements"), one(F.size("ctes")).alias("total_ctes"),
+        one(_total("columns")).alias("total_columns"), one(F.col("parse_error").isNotNull()).alias("parse_errors"), one(F.col("is_dynamic")).alias("dynamic_statements"), one(_total("ctes")).alias("total_ctes"),
         F.format_string("%.1f%%", 100.0 * F.avg(F.col("parse_error").isNull().cast("int"))).alias("parse_success_rate"),
     )

@@ -7,10 +7,11 @@ Columns are resolved one step (to the source as named) and through CTEs and deri
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from headwater.functions.rules import FAMILY_OF
-from headwater.operators.lexer import Token, tokens
+from headwater.operators.lexer import Token, routine_statements, tokens
 
 SNIPPET, EXPRESSION = 500, 200
 UNKNOWN = "unknown"
@@ -565,23 +566,26 @@ def _named(q: Query, column: str, listed: list[str] | None = None) -> Item | Non
     return next((i for i in q.items if (i.name or "").lower() == column.lower()), None) or next((i for i in q.items if i.is_star), None)
 
 
-def base_sources(it: Item, q: Query, depth: int = 0) -> list[tuple[str, str]]:
-    """Sources of an item down to stored tables, through CTEs."""
+def base_sources(it: Item, q: Query, seen: frozenset[int] = frozenset()) -> list[tuple[str, str]]:
+    """Sources of an item down to stored tables, through CTEs. An item that leads back to itself, in a recursive CTE, adds none."""
     out: list[tuple[str, str]] = []
+    if id(it) in seen:
+        return out
+    seen |= {id(it)}
     for table, column, cte in item_sources(it, q):
         inner = find_cte(q, table) if cte else None
-        if inner is None or depth > 40:
+        if inner is None:
             out.append((table, column))
             continue
         for b in _branches(inner):
             if column == "*":
-                out += [x for i2 in b.items for x in base_sources(i2, b, depth + 1)]
+                out += [x for i2 in b.items for x in base_sources(i2, b, seen)]
                 continue
             hit = _named(b, column, _cte_names(q, table))
             if hit is not None and hit.is_star:
-                out += [(t, column if c == "*" else c) for t, c in base_sources(hit, b, depth + 1)]
+                out += [(t, column if c == "*" else c) for t, c in base_sources(hit, b, seen)]
             elif hit is not None:
-                out += base_sources(hit, b, depth + 1)
+                out += base_sources(hit, b, seen)
     return list(dict.fromkeys(out))
 
 
@@ -608,6 +612,8 @@ class Statement:
     columns: list[Column] = field(default_factory=list)
     ctes: list[tuple[str, list[str], list[str], str]] = field(default_factory=list)
     returning: list[str] = field(default_factory=list)
+    body: list[Statement] = field(default_factory=list)
+    errors: list[str] = field(default_factory=list)
 
 
 def _columns(q: Query, names: list[str] | None = None) -> list[Column]:
@@ -800,6 +806,41 @@ def _merge(p: Parser, i: int, end: int, outer: Query | None, st: Statement) -> N
         at = stop - 1 if stop < end else end
 
 
+_WITH_BODY = ("PROCEDURE", "PROC", "FUNCTION", "TRIGGER", "PACKAGE", "MACRO", "TASK")
+_DOLLAR = re.compile(r"\$\w*\$")
+
+
+def body_statements(sql: str) -> list[str]:
+    """The statements in a routine's text, in blocks, brackets or dollar quotes or not."""
+    sql = _DOLLAR.sub(" ", sql)
+    ts = tokens(sql)
+    return [sql[ts[a].start : ts[b - 1].end] for a, b in routine_statements(ts)]
+
+
+def _is_variable(name: str, statement: str, routine: str) -> bool:
+    """Whether SELECT INTO fills a variable: one of several, or one that is declared with a type or assigned."""
+    if "." in name or name.startswith("#"):
+        return False
+    one = re.escape(name)
+    declared = rf"(?i)(?<!\bFROM)(?<!\bJOIN)(?<!\bINTO)(?<!\bUPDATE)\s{one}(?:\s*:=|\s+(?:IN\s+|OUT\s+|CONSTANT\s+)*[\w.]+(?:%\w+)?(?:\s*\([\d, ]*\))?\s*(?:;|:=|,|\)|DEFAULT\b))"
+    return bool(re.search(rf"(?i)\bINTO\s+{one}\s*,", statement) or re.search(declared, routine))
+
+
+def _body(p: Parser, st: Statement) -> None:
+    """The statements of a routine's body, each with its own target; their tables count as read by the routine too."""
+    for text in body_statements(p.sql):
+        try:
+            inner = parse_statement(text)
+        except Exception as e:  # the other statements still count
+            st.errors.append(f"{type(e).__name__}: {e}"[:200])
+            continue
+        if inner.subtype == "SELECT_INTO" and _is_variable(inner.target, text, p.sql):
+            inner.target, inner.subtype = None, None
+        if inner.kind != "COMMAND" or inner.subtype == "TRUNCATE":
+            st.body.append(inner)
+            st.sources += [t for t in inner.sources if t not in st.sources]
+
+
 _CREATABLE = ("TABLE", "VIEW", "PROCEDURE", "PROC", "FUNCTION", "TRIGGER", "PACKAGE", "MACRO", "INDEX", "SCHEMA", "DATABASE", "SEQUENCE", "TASK", "STREAM", "PIPE", "STAGE", "TYPE", "SYNONYM")
 
 
@@ -819,6 +860,9 @@ def _create(p: Parser, i: int, end: int, outer: Query | None, st: Statement, wor
     st.subtype = f"{st.kind}_{'MATERIALIZED_' if 'MATERIALIZED' in before and what == 'VIEW' else ''}{what or 'OTHER'}"
     if what == "TABLE" and before & {"TEMPORARY", "TEMP"} and "GLOBAL" in before:
         st.subtype = "CREATE_GLOBAL_TEMP_TABLE"
+    if what in _WITH_BODY:
+        _body(p, st)
+        return
     if what not in ("TABLE", "VIEW") or st.kind != "CREATE":
         return
     names: list[str] = []

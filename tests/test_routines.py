@@ -1,4 +1,5 @@
-from headwater.operators import lexer, routines
+from headwater.operators import lexer, lineage, routines
+from headwater.operators.parser import parse_statement
 
 
 def facts(spark, *bodies):
@@ -44,3 +45,29 @@ def test_routines_stay_whole():
     assert lexer.statements(bare, "tsql") == [bare]
     assert lexer.statements("CREATE MACRO m AS (SELECT 1 FROM a;); CREATE PROCEDURE p() BEGIN DELETE FROM b; END;", "teradata") == ["CREATE MACRO m AS (SELECT 1 FROM a;)", "CREATE PROCEDURE p() BEGIN DELETE FROM b; END"]
     assert lexer.statements("CREATE FUNCTION f() RETURNS int AS $$ BEGIN RETURN 1; END $$ LANGUAGE plpgsql; SELECT 1 FROM t; DO $$ BEGIN END $$;", "postgres")[1] == "SELECT 1 FROM t"
+
+
+def test_bodies_of_routines_have_lineage(spark):
+    proc = "CREATE PROCEDURE s.p AS BEGIN IF EXISTS (SELECT 1 FROM flags) BEGIN WITH c AS (SELECT a, b FROM src) INSERT INTO dst (x) SELECT a + b FROM c; UPDATE t SET t.v = u.w FROM t JOIN u ON u.k = t.k; END; DELETE FROM old WHERE k IN (SELECT k FROM gone) END"
+    func = "CREATE FUNCTION s.f() RETURNS TABLE AS RETURN (SELECT q.m AS n FROM q)"
+    st = lineage.analyze(spark.createDataFrame([("f.sql", f"{proc}\nGO\n{func}")], "file_path string, sql_text string"), "tsql").cache()
+    assert {(r.src_table, r.dst_table) for r in lineage.table_edges(st).collect()} == {
+        *((x, "s.p") for x in ("flags", "src", "u", "gone")), ("src", "dst"), ("u", "t"), ("gone", "old"), ("flags", "s.p"), ("q", "s.f"),
+    }
+    got = {(r.src_table, r.src_column, r.dst_table, r.dst_column) for r in lineage.column_edges(st, resolved=True).collect()}
+    assert {("src", "a", "dst", "x"), ("src", "b", "dst", "x"), ("u", "w", "t", "v"), ("q", "m", "s.f", "n")} <= got
+    assert [r.name for r in lineage.cte_table(st).collect()] == ["c"] and lineage.summary(st).first().total_statements == 2
+
+
+def test_deep_and_recursive_ctes_end_at_stored_tables():
+    deep = "WITH c0 AS (SELECT x FROM t)" + "".join(f", c{i} AS (SELECT x FROM c{i - 1})" for i in range(1, 60)) + " SELECT x FROM c59"
+    assert parse_statement(deep).columns[0].resolved == [("t", "x")]
+    loop = "WITH RECURSIVE r AS (SELECT x FROM t UNION ALL SELECT r.x FROM r) SELECT x FROM r"
+    assert parse_statement(loop).columns[0].resolved == [("t", "x")]
+
+
+def test_variables_are_no_targets():
+    sql = "CREATE PROCEDURE p IS v NUMBER(3); BEGIN SELECT a INTO v FROM t; SELECT a, b INTO x, y FROM u; SELECT a INTO made FROM w; SELECT a INTO #tmp FROM made m; END"
+    assert [(b.target, b.sources) for b in parse_statement(sql).body] == [(None, ["t"]), (None, ["u"]), ("made", ["w"]), ("#tmp", ["made"])]
+    sql = "CREATE PROC p AS BEGIN\nMERGE INTO a USING b ON a.k = b.k WHEN MATCHED THEN UPDATE SET a.v = b.v WHEN NOT MATCHED THEN INSERT (k) VALUES (b.k)\nDELETE FROM c WHERE k IN (SELECT k FROM d)\nEND"
+    assert [(b.kind, b.target, b.sources) for b in parse_statement(sql).body] == [("MERGE", "a", ["b"]), ("DELETE", "c", ["d"])]
