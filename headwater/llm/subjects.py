@@ -28,6 +28,8 @@ DIM = 1 << 18
 MAX_DOCS, MAX_CHARS, MAX_UNITS = 6_000, 40_000, 60
 #: Every so many labelled documents are kept for calibration.
 HELD_OUT = 5
+#: Labels that calibration needs.
+FEW = 20
 ROUNDS, EPOCHS, BATCH, RATE = 3, 2, 256, 0.35
 #: Tokens scored at once, which bounds a worker's memory.
 CHUNK = 150_000
@@ -96,8 +98,18 @@ class Model:
 def fit(docs: list[tuple[str, dict[str, int]]], descriptions: dict[str, str], seed: int = 7) -> Model:
     """A model from labelled documents (text, subject -> number of raters) and the subjects' descriptions.
 
-    Without labelled documents, the descriptions alone are learnt.
+    Without labelled documents, the descriptions alone are learnt. The thresholds are set on the documents kept out of fitting; where
+    those have too few labels, each document is kept out of one of several fits.
     """
+    model, *kept = _fit(docs, descriptions, seed, HELD_OUT - 1)
+    if kept[2].sum() < FEW:
+        more = [_fit(docs, descriptions, seed, k)[1:] for k in range(HELD_OUT - 1)]
+        kept = [np.concatenate(x) for x in zip(kept, *more)]
+    return calibrate(model, *kept)
+
+
+def _fit(docs: list[tuple[str, dict[str, int]]], descriptions: dict[str, str], seed: int, fold: int) -> tuple[Model, np.ndarray, np.ndarray, np.ndarray]:
+    """A model without one of HELD_OUT parts of the documents; best score, number of units and labels of that part, over whole documents."""
     subjects = sorted(descriptions)
     column = {s: i for i, s in enumerate(subjects)}
     rng, words = np.random.default_rng(seed), Words()
@@ -123,7 +135,8 @@ def fit(docs: list[tuple[str, dict[str, int]]], descriptions: dict[str, str], se
     for s in subjects:
         labels[len(docs) + column[s], column[s]] = 1
     if not total:
-        return Model(subjects, np.zeros((len(subjects), DIM), np.float32), np.full(len(subjects), -2, np.float32))
+        none = np.zeros((0, len(subjects)))
+        return Model(subjects, np.zeros((len(subjects), DIM), np.float32), np.full(len(subjects), -2, np.float32)), none, none, none > 0
     flat, start, owner = np.concatenate(feats), np.array(starts), np.array(owner)
     size = np.diff(np.r_[start, total])
     # Only features seen twice are learnt; the others stay at 0 and are put into one slot.
@@ -131,7 +144,7 @@ def fit(docs: list[tuple[str, dict[str, int]]], descriptions: dict[str, str], se
     rank = np.cumsum(times > 1) - 1
     n_learnt = int(rank[-1]) + 1 if len(rank) else 0
     slot = np.where(times[slot] > 1, rank[slot], n_learnt)
-    held = np.arange(len(texts)) % HELD_OUT == HELD_OUT - 1
+    held = np.arange(len(texts)) % HELD_OUT == fold
     held[len(docs) :] = False
     w, b = np.zeros((n_learnt + 1, len(subjects)), np.float32), np.full(len(subjects), -2, np.float32)
     gain, gain_b = np.full_like(w, 1e-2), np.full_like(b, 1e-2)
@@ -179,14 +192,18 @@ def fit(docs: list[tuple[str, dict[str, int]]], descriptions: dict[str, str], se
     learnt = times > 1
     weights[seen[learnt]] = w[rank[learnt]]
     model = Model(subjects, np.ascontiguousarray(weights.T), b)
-    count = np.zeros(labels.shape, np.int32)
-    np.add.at(count, owner, (s > 0).astype(np.int32))
-    return calibrate(model, top[held], count[held], labels[held] > 0)
+    top, count = np.full(labels.shape, -99, np.float32), np.zeros(labels.shape, np.int32)
+    for d in np.flatnonzero(held):  # all units, as in classify
+        row = np.fromiter(words.row(texts[d] or ""), dtype=np.int64)
+        _, best, n = doc_scores(model, row, [len(row)])
+        if len(best):
+            top[d], count[d] = best[0], n[0]
+    return model, top[held], count[held], labels[held] > 0
 
 
 def calibrate(model: Model, top: np.ndarray, count: np.ndarray, truth: np.ndarray) -> Model:
     """Sets the thresholds to those with the best F1 on held-out documents; of equal ones, the highest."""
-    if truth.sum() < 20:
+    if truth.sum() < FEW:
         return model
     best = -1.0
     for several in SEVERAL:
@@ -200,11 +217,12 @@ def calibrate(model: Model, top: np.ndarray, count: np.ndarray, truth: np.ndarra
     return model
 
 
-def subjects_of(model: Model, row: np.ndarray, ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Subjects of a run of documents, given as one row of hashes and the end of each document in it: document, subject number."""
+def doc_scores(model: Model, row: np.ndarray, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents with features of a run of documents (one row of hashes, the end of each document in it): number, best score, number of units."""
     feature, unit = features(row)
     if not len(feature):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros((0, len(model.subjects)), np.float32)
+        return np.zeros(0, np.int64), none, none
     doc = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
     is_word = row >= 0
     doc_of_unit = np.zeros(int(len(row) - is_word.sum()) + 1, dtype=np.int64)
@@ -212,10 +230,14 @@ def subjects_of(model: Model, row: np.ndarray, ends: list[int]) -> tuple[np.ndar
     units, s = model.unit_scores(feature, unit)
     owner = doc_of_unit[units]
     head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    top = np.maximum.reduceat(s, head, axis=0)
-    count = np.add.reduceat((s > 0).astype(np.int32), head, axis=0)
+    return owner[head], np.maximum.reduceat(s, head, axis=0), np.add.reduceat((s > 0).astype(np.int32), head, axis=0)
+
+
+def subjects_of(model: Model, row: np.ndarray, ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Subjects of a run of documents, given as one row of hashes and the end of each document in it: document, subject number."""
+    owner, top, count = doc_scores(model, row, ends)
     at, subject = np.nonzero(model.decide(top, count))
-    return owner[head][at], subject
+    return owner[at], subject
 
 
 def classify(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame:
