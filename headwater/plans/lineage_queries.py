@@ -3,12 +3,15 @@ scores on lineage tables, graphs on keys, and medallion views on the sales table
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headwater.functions import rules
 from headwater.functions.names import clean_name, object_of, schema_of
 from headwater.operators import cleaning, graphs, lineage, routines
+from headwater.scratch import Scratch
 from headwater.sources.tables import table
 
 T = table
@@ -98,6 +101,28 @@ def transform_kinds(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("c.transform").agg(F.count(F.lit(1)).alias("n_columns"), F.sum(F.col("c.is_aggregate").cast("bigint")).alias("n_aggregates"))
 
 
+def _routine_statements(spark: SparkSession, d: str) -> DataFrame:
+    """All definitions, each analyzed in its own dialect; file_path is the number of the routine. Unknown dialects count as T-SQL."""
+    p = T(spark, d, "catalog_procedures").filter("definition is not null").select(F.col("procedure_id").cast("string").alias("file_path"), F.col("definition").alias("sql_text"), F.lower("dialect").alias("dialect")).distinct()
+    known = F.coalesce(F.when(F.col("dialect").isin(*rules.DIALECTS), F.col("dialect")), F.lit("tsql"))
+    p = p.select("file_path", "sql_text", known.alias("dialect"))
+    parts = [lineage.analyze(p.filter(F.col("dialect") == x).select("file_path", "sql_text"), x) for x in rules.DIALECTS]
+    return Scratch(spark, "routine_statements").save(reduce(DataFrame.unionByName, parts))
+
+
+def routine_statement_types(spark: SparkSession, d: str) -> DataFrame:
+    """Statements of all definitions and of their bodies, by dialect and kind."""
+    s = _routine_statements(spark, d)
+    kinds = F.concat(F.array("statement_type"), F.transform("body", lambda b: b["statement_type"]))
+    return s.select("dialect", F.explode(kinds).alias("statement_type")).groupBy("dialect", "statement_type").agg(F.count(F.lit(1)).alias("n_statements"))
+
+
+def routine_table_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Tables that each routine and its statements read, with the target."""
+    e = lineage.table_edges(_routine_statements(spark, d))
+    return e.select(F.col("file_path").alias("procedure_id"), "src_table", "dst_table", "is_self_edge").distinct()
+
+
 def statement_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Totals per kind and dialect."""
     s = T(spark, d, "statement_lineage").dropDuplicates(["statement_id"])
@@ -383,7 +408,7 @@ def function_families(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        strip_comments, strip_noise, split_batches, normalize_whitespace, classify_documents, valid_statements, function_kinds, clean_stats, temp_names, feature_counts, regex_sources, parsed_sources, statement_types, transform_kinds,
+        strip_comments, strip_noise, split_batches, normalize_whitespace, classify_documents, valid_statements, function_kinds, clean_stats, temp_names, feature_counts, regex_sources, parsed_sources, statement_types, transform_kinds, routine_statement_types, routine_table_edges,
         statement_kinds, register_tables, merge_columns, confidence_scores, cte_expand, lineage_summary, usage_report, access_matrix, usage_inversion, name_disambiguation, name_resolution, column_map, catalog_summary, key_assembly,
         history_top, system_filter, dependencies, exec_levels, table_levels, circular_tables, bfs_levels, adjacency, orphan_tables, graph_export, virtual_source_nodes, connected_nodes, focus_one_hop, component_sizes, fuzzy_search,
         top_dependencies, routine_summary, routine_parameters, schema_object_split, medallion_silver, medallion_gold, medallion_kpi_cte, set_ops, window_rank, pivot_status, lateral_top1, function_families,

@@ -1,5 +1,9 @@
+from pyspark.sql import functions as F
+
 from headwater.operators import lexer, lineage, routines
 from headwater.operators.parser import parse_statement
+from headwater.plans.registry import QUERIES
+from tests.helpers import DATA
 
 
 def facts(spark, *bodies):
@@ -71,3 +75,9 @@ def test_variables_are_no_targets():
     assert [(b.target, b.sources) for b in parse_statement(sql).body] == [(None, ["t"]), (None, ["u"]), ("made", ["w"]), ("#tmp", ["made"])]
     sql = "CREATE PROC p AS BEGIN\nMERGE INTO a USING b ON a.k = b.k WHEN MATCHED THEN UPDATE SET a.v = b.v WHEN NOT MATCHED THEN INSERT (k) VALUES (b.k)\nDELETE FROM c WHERE k IN (SELECT k FROM d)\nEND"
     assert [(b.kind, b.target, b.sources) for b in parse_statement(sql).body] == [("MERGE", "a", ["b"]), ("DELETE", "c", ["d"])]
+
+
+def test_parser_runs_over_all_definitions(spark):
+    n = {r.statement_type: r.n for r in QUERIES["routine_statement_types"](spark, DATA).groupBy("statement_type").agg(F.sum("n_statements").alias("n")).collect()}
+    assert n["CREATE"] == spark.read.parquet(f"{DATA}/catalog_procedures.parquet").filter("definition is not null").select("procedure_id", "definition", "dialect").distinct().count() and n["INSERT"] > 0 and "ERROR" not in n
+    assert QUERIES["routine_table_edges"](spark, DATA).filter("src_table is null or dst_table is null").isEmpty()
