@@ -9,8 +9,8 @@ from headwater.scratch import Scratch
 
 #: A key with more than this share of all references is heavy; at most 1 / share keys can be.
 HEAVY_SHARE = 0.001
-#: A heavy key with more lifetimes than this isn't broadcast but joined like the others.
-MAX_LIFETIMES = 1_000
+#: A heavy key with more lifetimes than this isn't broadcast; its references are spread over so many copies of its lifetimes.
+MAX_LIFETIMES, SPREAD = 1_000, 64
 
 
 def lifetimes(targets: DataFrame, key: str, starts: str, ends: str) -> DataFrame:
@@ -22,15 +22,16 @@ def lifetimes(targets: DataFrame, key: str, starts: str, ends: str) -> DataFrame
     )
 
 
-def orphan_references(refs: DataFrame, targets: DataFrame, starts: str = "starts", ends: str = "ends", heavy_share: float = HEAVY_SHARE) -> DataFrame:
+def orphan_references(refs: DataFrame, targets: DataFrame, starts: str = "starts", ends: str = "ends", heavy_share: float = HEAVY_SHARE, max_lifetimes: int = MAX_LIFETIMES) -> DataFrame:
     """References to keys that didn't exist when the reference was made.
 
     refs: origin, record_id, ref_key, ref_at; the same reference counts once, those with a null in any column are none.
     targets: ref_key and the two ends of a lifetime; it includes its start and not its end.
 
     References are first counted per key and month, combined before the shuffle. Keys that hold more than heavy_share of all
-    references, of which there can only be 1 / heavy_share, are checked against a broadcast of their lifetimes; the references
-    to all others are shuffled by key and joined. Each key takes one of the two ways, so the union holds each orphan once.
+    references, of which there can only be 1 / heavy_share, are checked against a broadcast of their lifetimes, or, if a key has
+    more than max_lifetimes, against one of several copies of them; the references to all others are shuffled by key and joined.
+    Each key takes one of these ways, so the union holds each orphan once.
 
     Result: origin, record_id, ref_key, reason (missing: no such key; later: all its lifetimes begin after; deleted: otherwise),
     ref_month (YYYY-MM). Empty inputs: no references, no rows; no targets, all references are missing.
@@ -44,13 +45,17 @@ def orphan_references(refs: DataFrame, targets: DataFrame, starts: str = "starts
     per_key = per_period.groupBy("ref_key").agg(F.sum("n").alias("n"))
     total = per_period.agg(F.sum("n").alias("total")).scalar()
     heavy = per_key.filter(F.col("n") > total * heavy_share).select("ref_key")
-    heavy_lives = heavy.join(lives, heavy["ref_key"] == lives["_key"], "left").filter(F.coalesce(F.size("_lives"), F.lit(0)) <= MAX_LIFETIMES)
-    heavy_lives = heavy_lives.select(F.col("ref_key").alias("_heavy"), "_lives")
+    # way: 0 for keys whose lifetimes are broadcast, 1 for those with too many; at most 1 / heavy_share rows.
+    heavy_lives = heavy.join(lives, heavy["ref_key"] == lives["_key"], "left")
+    heavy_lives = scratch.save(heavy_lives.select(F.col("ref_key").alias("_heavy"), "_lives", (F.coalesce(F.size("_lives"), F.lit(0)) > max_lifetimes).cast("int").alias("_way")))
 
-    split = refs.join(F.broadcast(heavy_lives), refs["ref_key"] == F.col("_heavy"), "left")
-    seen = split.filter(F.col("_heavy").isNotNull()).drop("_heavy")
-    rest = split.filter(F.col("_heavy").isNull()).drop("_heavy", "_lives").join(lives, F.col("ref_key") == F.col("_key"), "left").drop("_key")
-    checked = seen.unionByName(rest)
+    split = refs.join(F.broadcast(heavy_lives.select("_heavy", "_way", F.when(F.col("_way") == 0, F.col("_lives")).alias("_lives"))), refs["ref_key"] == F.col("_heavy"), "left")
+    seen = split.filter("_way = 0").drop("_heavy", "_way")
+    rest = split.filter("_way is null").drop("_heavy", "_way", "_lives").join(lives, F.col("ref_key") == F.col("_key"), "left").drop("_key")
+    salt = F.pmod(F.xxhash64("origin", "record_id"), F.lit(SPREAD)).cast("int")
+    copies = heavy_lives.filter("_way = 1").select(F.col("_heavy").alias("ref_key"), "_lives", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_salt"))
+    many = split.filter("_way = 1").drop("_heavy", "_way", "_lives").withColumn("_salt", salt).join(copies, ["ref_key", "_salt"]).select("origin", "record_id", "ref_key", "ref_at", "_lives")
+    checked = seen.unionByName(rest).unionByName(many)
 
     at = F.col("ref_at")
     alive = F.exists("_lives", lambda x: (x["starts"].isNull() | (x["starts"] <= at)) & (x["ends"].isNull() | (at < x["ends"])))

@@ -8,32 +8,36 @@ from pyspark.sql import functions as F
 from headwater.functions.names import clean_name, qualified
 from headwater.operators import references, snapshots
 from headwater.operators.hierarchy import Hierarchy
+from headwater.scratch import Scratch
 from headwater.sources.tables import table
 
-#: type_synonyms is a reference list of spellings; a longer one than this must be joined instead of being put in the plan.
-MAX_SYNONYMS = 10_000
+SCOPE, KEY = ["database_name"], ["table_schema", "table_name", "column_name"]
 
 
-def type_synonyms(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    rows = table(spark, sf_dir, "type_synonyms").select("spelling", "type_name").dropna().limit(MAX_SYNONYMS + 1).collect()
-    if len(rows) > MAX_SYNONYMS:
-        raise ValueError(f"type_synonyms has more than {MAX_SYNONYMS} rows")
-    tight = lambda s: "".join(s.lower().split())
-    return {tight(r.spelling): tight(r.type_name) for r in rows}
+def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all deliveries with clean names, and the type in one spelling (_type)."""
+    rows = table(spark, sf_dir, "catalog_columns").select("database_name", "snapshot_no", *[clean_name(F.col(c)).alias(c) for c in KEY], "data_type", "loaded_at")
+    return snapshots.canonical_types(rows, "data_type", table(spark, sf_dir, "type_synonyms"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns added, removed or changed in type between consecutive deliveries of each database."""
-    rows = table(spark, sf_dir, "catalog_columns").select(
-        "database_name",
-        "snapshot_no",
-        *[clean_name(F.col(c)).alias(c) for c in ("table_schema", "table_name", "column_name")],
-        "data_type",
-        "loaded_at",
-    )
-    kind = snapshots.canonical_type(F.col("data_type"), type_synonyms(spark, sf_dir))
-    out = snapshots.snapshot_changes(rows, ["database_name"], ["table_schema", "table_name", "column_name"], "snapshot_no", kind, F.col("loaded_at"))
-    return out.select("database_name", "table_schema", "table_name", "column_name", "snapshot_no", "change_kind")
+    out = snapshots.snapshot_changes(catalog_lines(spark, sf_dir), SCOPE, KEY, "snapshot_no", F.col("_type"), F.col("loaded_at"))
+    return out.select(*SCOPE, *KEY, "snapshot_no", "change_kind")
+
+
+def p1_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, one delivery after the other: each run reads its own delivery and what the run before has left."""
+    scratch, lines = Scratch(spark, "deliveries"), catalog_lines(spark, sf_dir)
+    numbers = sorted(r[0] for r in lines.select("snapshot_no").dropna().distinct().collect())  # one row per delivery
+    registry = last = found = None
+    for n in numbers:
+        changes, registry, last = snapshots.apply_delivery(lines.filter(F.col("snapshot_no") == n), SCOPE, KEY, "snapshot_no", F.col("_type"), F.col("loaded_at"), registry, last)
+        changes = scratch.save(changes)
+        found = changes if found is None else found.unionByName(changes)
+    if found is None:
+        return p1_found(spark, sf_dir)
+    return found.select(*SCOPE, *KEY, "snapshot_no", "change_kind")
 
 
 def table_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -100,4 +104,4 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_report(found).select(F.col("ref_key").alias("ref_table"), "ref_month", "reason", "n_references")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p2_paths": p2_paths, "p2_dependents": p2_dependents, "p5_report": p5_report}
+QUERIES = {"p1_found": p1_found, "p1_deliveries": p1_deliveries, "p2_found": p2_found, "p5_found": p5_found, "p2_paths": p2_paths, "p2_dependents": p2_dependents, "p5_report": p5_report}

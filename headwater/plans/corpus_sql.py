@@ -75,6 +75,7 @@ SELECT DISTINCT origin, record_id, ref_table, CASE WHEN n = 0 THEN 'missing' WHE
        strftime(seen_at, '%Y-%m') AS ref_month
 FROM judged WHERE alive = 0""",
 }
+ORACLE_SQL["p1_deliveries"] = ORACLE_SQL["p1_found"]
 ORACLE_SQL["p5_report"] = (
     "SELECT ref_table, ref_month, reason, count(*) AS n_references FROM (" + ORACLE_SQL["p5_found"] + ") GROUP BY ref_table, ref_month, reason"
 )

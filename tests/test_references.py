@@ -19,6 +19,7 @@ def test_reasons_ends_and_lifetimes(spark):
     assert run(spark, refs, lives) == want
     assert run(spark, refs, lives, heavy_share=0.0) == want  # all keys heavy
     assert run(spark, refs, lives, heavy_share=1.0) == want  # none
+    assert run(spark, refs, lives, heavy_share=0.0, max_lifetimes=1) == want  # all heavy, t with too many lifetimes to be broadcast
 
 
 def test_empty(spark):

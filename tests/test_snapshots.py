@@ -3,7 +3,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from headwater.operators.snapshots import assign_ordinals, canonical_type, snapshot_changes
+from headwater.operators.snapshots import apply_delivery, assign_ordinals, canonical_types, snapshot_changes
+from headwater.scratch import Scratch
 
 SCHEMA = "db string, snap int, k string, v string, at timestamp, change_kind string"
 
@@ -44,6 +45,14 @@ def test_against_brute_force(spark):
                         rows.append((db, snap, f"k{i}", rng.choice(["int", "date"]), t0 + timedelta(seconds=rng.randint(0, 10**6)), "x"))
     rows += [(None, 1, "k", "int", t0, None), ("a", None, "k", "int", t0, None), ("a", 1, None, "int", t0, None)]
     assert changes(spark, rows, block_keys=64) == brute(rows)
+    registry = assign_ordinals(spark.createDataFrame([("hot", f"k{i}") for i in range(100, 0, -1)], "db string, k string"), ["db"], ["k"], block_keys=64)
+    assert changes(spark, rows, block_keys=64, registry=registry) == brute(rows)
+    df, state, found = spark.createDataFrame(rows, SCHEMA), (None, None), []
+    for n in range(1, 7):
+        out = apply_delivery(df.filter(F.col("snap") == n), ["db"], ["k"], "snap", F.col("v"), F.col("at"), *state, block_keys=64)
+        found += [tuple(r) for r in out.changes.select("db", "k", "snap", "change_kind").collect()]
+        state = (out.registry, out.last)
+    assert sorted(found) == brute(rows)
 
 
 def test_gap_null_value_and_emptied_word(spark):
@@ -65,9 +74,17 @@ def test_ordinals_persist(spark):
     after = {(r.db, r.k): (r.block, r.position) for r in assign_ordinals(more, ["db"], ["k"], registry=first, block_keys=16).collect()}
     assert all(after[k] == v for k, v in before.items())
     assert len({v for k, v in after.items() if k[0] == "d"}) == 70
+    # Few keys fill the last block, more than it has room for open new ones.
+    small = assign_ordinals(spark.createDataFrame([("d", "a")], "db string, k string"), ["db"], ["k"], block_keys=16)
+    save = Scratch(spark, "test").save
+    small = save(assign_ordinals(spark.createDataFrame([("d", "b"), ("d", "c")], "db string, k string"), ["db"], ["k"], registry=save(small), block_keys=16))
+    assert {(r.k, r.block, r.position) for r in small.collect()} == {("a", 0, 0), ("b", 0, 1), ("c", 0, 2)}
+    grown = assign_ordinals(keys, ["db"], ["k"], registry=small, block_keys=16).collect()
+    assert len({(r.block, r.position) for r in grown}) == 53 and {r.block for r in grown if r.k.startswith("k")} <= {1, 2, 3, 4}
 
 
 def test_types(spark):
-    syn = {"numeric": "decimal", "charactervarying": "varchar"}
+    syn = spark.createDataFrame([("numeric", "decimal"), ("Character Varying", "varchar"), (None, "x"), ("numeric", "zzz")], "spelling string, type_name string")
     df = spark.createDataFrame([("NUMERIC (10, 2)",), ("decimal(10,2)",), ("Character  Varying(5)",), ("varchar(6)",), (None,)], "t string")
-    assert [r[0] for r in df.select(canonical_type(F.col("t"), syn)).collect()] == ["decimal(10,2)", "decimal(10,2)", "varchar(5)", "varchar(6)", None]
+    got = {r.t: r["_type"] for r in canonical_types(df, "t", syn).collect()}
+    assert got == {"NUMERIC (10, 2)": "decimal(10,2)", "decimal(10,2)": "decimal(10,2)", "Character  Varying(5)": "varchar(5)", "varchar(6)": "varchar(6)", None: None}
