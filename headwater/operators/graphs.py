@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwater.operators import local
 from headwater.scratch import Scratch
 
 
@@ -22,22 +23,27 @@ def _clean(edges: DataFrame) -> DataFrame:
 def execution_levels(edges: DataFrame) -> DataFrame:
     """Level of each node: 0 without sources, else one above its highest source. Nodes on circles and behind them have level null.
 
-    edges: src, dst (dst depends on src). Result: node, level, is_circular.
+    edges: src, dst (dst depends on src). Result: node, level, is_circular. A table of at most LOCAL_EDGES edges is worked off by one
+    task. Of a larger one, each round takes off the nodes that nothing left leads to, and writes only what remains.
     """
     scratch = Scratch(edges.sparkSession, "levels")
     left = scratch.save(_clean(edges))
-    nodes = scratch.save(_both(left).withColumn("level", F.lit(None).cast("int")))
-    level, todo = 0, nodes.count()
-    while todo:
-        waiting = left.select(F.col("dst").alias("node")).distinct()
-        ready = nodes.filter("level is null").join(waiting, "node", "left_anti").select("node", F.lit(True).alias("now"))
-        nodes = scratch.replace(nodes, nodes.join(ready, "node", "left").select("node", F.coalesce("level", F.when(F.col("now"), level)).alias("level")))
-        left = scratch.replace(left, left.join(nodes.filter("level is not null").select(F.col("node").alias("src")), "src", "left_anti"))
-        now = nodes.filter("level is null").count()
-        if now == todo:
-            break
-        level, todo = level + 1, now
-    return nodes.withColumn("is_circular", F.col("level").isNull())
+    nodes = scratch.save(_both(left))
+    if left.count() <= local.LOCAL_EDGES:
+        done = scratch.save(local.in_one_task(left, local.levels, "node string, level int").select(F.col("node").cast(nodes.schema["node"].dataType).alias("node"), "level"))
+    else:
+        done, open_, level = scratch.append("done", nodes.select("node", F.lit(0).alias("level")).limit(0)), nodes, 0
+        while True:
+            ready = scratch.save(open_.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+            if ready.isEmpty():
+                break
+            done = scratch.append("done", ready.withColumn("level", F.lit(level)))
+            rest = scratch.save(open_.join(ready, "node", "left_anti"))
+            if level:
+                scratch.drop(open_)
+            left, open_, level = scratch.replace(left, left.join(ready.select(F.col("node").alias("src")), "src", "left_anti")), rest, level + 1
+            scratch.drop(ready)
+    return nodes.join(done, "node", "left").withColumn("is_circular", F.col("level").isNull())
 
 
 def bfs_levels(edges: DataFrame, start: str, max_depth: int = 5) -> DataFrame:

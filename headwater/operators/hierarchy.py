@@ -5,23 +5,29 @@ trees that hang from the other nodes (roots without a parent, junctions with sev
 
 1. circles that no outside node leads into are exposed by pointer doubling and opened at their first node;
 2. the trees get Euler tours, ranked in parallel: entry and exit of each node, hence depth, ancestors, descendants;
-3. what is left is the much smaller graph between the tops of trees; routes over it are found by frontier steps, and its
-   circles by peeling what can't lie on one and then by colours. Marks on the tours turn both into results for all nodes.
+3. what is left is the much smaller graph between the tops of trees; routes over it are found by frontier steps, which take
+   more and more links at once where the graph is deep; its circles by a search in one task if the graph is small enough, else
+   by peeling what can't lie on one and then by colours. Marks on the tours turn both into results for all nodes.
 
 Every step is a join on a key; no step collects a node's children or a tree in one place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from headwater.operators import local
 from headwater.scratch import Scratch
 
 #: Siblings are ordered within so many groups per parent, so that a parent with very many children isn't sorted by one task.
 SIBLING_GROUPS = 64
 #: Tour positions per block when marks are searched along a tour.
 TOUR_BLOCK = 65_536
+#: Rounds of single steps before steps are joined to longer ones, and how many times as many ways there may be to join them.
+PLAIN_ROUNDS, WIDEST = 4, 16
 
 
 def _edges(links: DataFrame, child: str, parent: str) -> DataFrame:
@@ -95,16 +101,57 @@ def euler_tours(scratch: Scratch, forest: DataFrame, tops: DataFrame) -> DataFra
     return tours
 
 
-def _routes(scratch: Scratch, roots: DataFrame, steps: DataFrame) -> DataFrame:
-    """Fewest links from each root to each top: root, top, dist. steps: src, dst, weight between tops, weight at least 1."""
-    steps = steps.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    best = scratch.save(roots.select(F.col("node").alias("root"), F.col("node").alias("top"), F.lit(0).alias("dist"), F.lit(True).alias("fresh")))
+class _Steps:
+    """Steps between tops, of which some become longer round by round: src, dst and the least ``way``.
+
+    Joining each two of the longest steps gives those of twice as many links, so a way of n links is made of some log(n) steps. There
+    may be more of the longer steps than of single ones, so they are joined only while the ways to do so are counted to be at
+    most WIDEST times the first steps. Deep, narrow graphs then take a number of rounds logarithmic in their depth, shallow ones
+    need none of it; a graph both deep and wide takes a round for every so many links.
+    """
+
+    def __init__(self, scratch: Scratch, steps: DataFrame, join: Callable[[Column, Column], Column], length: Callable[[Column], Column]):
+        self.scratch, self.join, self.length, self.rounds, self.grows = scratch, join, length, 0, True
+        self.table = self.longest = scratch.save(self._least(steps))
+        self.first = self.table.count()
+
+    def _least(self, steps: DataFrame) -> DataFrame:
+        shortest = F.min(F.struct(self.length(F.col("way")).alias("n"), F.col("way").alias("way")))
+        return steps.groupBy("src", "dst").agg(shortest.alias("b")).select("src", "dst", "b.way")
+
+    def next(self) -> DataFrame:
+        """The steps for the next round."""
+        self.rounds += 1
+        if self.rounds > PLAIN_ROUNDS and self.grows:
+            into = self.longest.groupBy(F.col("dst").alias("via")).agg(F.count(F.lit(1)).alias("i"))
+            out = self.longest.groupBy(F.col("src").alias("via")).agg(F.count(F.lit(1)).alias("o"))
+            ways = into.join(out, "via").agg(F.coalesce(F.sum(F.col("i") * F.col("o")), F.lit(0))).first()[0]
+            self.grows = 0 < ways <= WIDEST * self.first
+            if self.grows:
+                ahead = self.longest.select(F.col("src").alias("dst"), F.col("dst").alias("dst2"), F.col("way").alias("way2"))
+                twice = self.longest.join(ahead, "dst").select("src", F.col("dst2").alias("dst"), self.join(F.col("way"), F.col("way2")).alias("way"))
+                self.longest = self.scratch.save(self._least(twice))
+                self.table = self.table.unionByName(self.longest)
+        return self.table
+
+
+def _frontier(scratch: Scratch, roots: DataFrame, steps: _Steps, none: Column) -> DataFrame:
+    """The best way from each root to each top: root, top, way; from a root to itself it is ``none``. Only what a round has bettered
+    is carried on."""
+    best = scratch.save(roots.select(F.col("node").alias("root"), F.col("node").alias("top"), none.alias("way"), F.lit(True).alias("fresh")))
     while not best.filter("fresh").isEmpty():
-        fresh = best.filter("fresh")
-        found = fresh.join(steps, fresh["top"] == steps["src"]).select("root", F.col("dst").alias("top"), (F.col("dist") + F.col("weight")).alias("dist"), F.lit(True).alias("fresh"))
+        ahead = steps.next().select(F.col("src").alias("top"), F.col("dst"), F.col("way").alias("way2"))
+        found = best.filter("fresh").join(ahead, "top").select("root", F.col("dst").alias("top"), steps.join(F.col("way"), F.col("way2")).alias("way"), F.lit(True).alias("fresh"))
         both = best.withColumn("fresh", F.lit(False)).unionByName(found)
-        best = scratch.replace(best, both.groupBy("root", "top").agg(F.min(F.struct("dist", "fresh")).alias("b")).select("root", "top", "b.dist", "b.fresh"))
-    return best.select("root", "top", "dist")
+        least = F.min(F.struct(steps.length(F.col("way")).alias("n"), "way", "fresh"))
+        best = scratch.replace(best, both.groupBy("root", "top").agg(least.alias("b")).select("root", "top", "b.way", "b.fresh"))
+    return best.select("root", "top", "way")
+
+
+def _routes(scratch: Scratch, roots: DataFrame, steps: DataFrame) -> DataFrame:
+    """Fewest links from each root to each top: root, top, dist. steps: src, dst, weight between tops, weight at least 1."""
+    graph = _Steps(scratch, steps.select("src", "dst", F.col("weight").alias("way")), lambda a, b: a + b, lambda a: a)
+    return _frontier(scratch, roots, graph, F.lit(0)).withColumnRenamed("way", "dist")
 
 
 def _tree_paths(scratch: Scratch, forest: DataFrame, tops: DataFrame) -> DataFrame:
@@ -131,13 +178,8 @@ def _top_paths(scratch: Scratch, roots: DataFrame, steps: DataFrame) -> DataFram
     steps: src, dst, leg (the names from src through its tree to the parent of dst). Of all paths with the fewest links the
     alphabetically first is kept; as those before one top have the same length, what comes first stays first with each leg.
     """
-    best = scratch.save(roots.select(F.col("node").alias("root"), F.col("node").alias("top"), F.lit(0).alias("dist"), F.array().cast("array<string>").alias("before"), F.lit(True).alias("fresh")))
-    while not best.filter("fresh").isEmpty():
-        fresh = best.filter("fresh")
-        found = fresh.join(steps, fresh["top"] == steps["src"]).select("root", F.col("dst").alias("top"), (F.col("dist") + F.size("leg")).alias("dist"), F.concat("before", "leg").alias("before"), F.lit(True).alias("fresh"))
-        both = best.withColumn("fresh", F.lit(False)).unionByName(found)
-        best = scratch.replace(best, both.groupBy("root", "top").agg(F.min(F.struct("dist", "before", "fresh")).alias("b")).select("root", "top", "b.dist", "b.before", "b.fresh"))
-    return best.select("root", "top", "before")
+    graph = _Steps(scratch, steps.select("src", "dst", F.col("leg").alias("way")), lambda a, b: F.concat(a, b), F.size)
+    return _frontier(scratch, roots, graph, F.array().cast("array<string>")).withColumnRenamed("way", "before")
 
 
 def _peel(scratch: Scratch, steps: DataFrame) -> DataFrame:
@@ -157,10 +199,13 @@ def _peel(scratch: Scratch, steps: DataFrame) -> DataFrame:
 def _components(scratch: Scratch, steps: DataFrame) -> DataFrame:
     """Strongly connected components that hold a circle: top, comp.
 
-    Each node takes the least name that reaches it as its colour; from the node that gave the colour, those of the same colour
+    A graph of at most LOCAL_EDGES steps is searched by one task. In a larger one, each node takes the least name that reaches it as its colour; from the node that gave the colour, those of the same colour
     that can reach it form a component. Components are taken out and the rest is peeled and coloured again.
     """
-    steps = _peel(scratch, steps.select("src", "dst").distinct())
+    steps = scratch.save(steps.select("src", "dst").distinct())
+    if steps.count() <= local.LOCAL_EDGES:
+        return scratch.save(local.in_one_task(steps, local.circles, "top string, comp string"))
+    steps = _peel(scratch, steps)
     found = None
     while not steps.isEmpty():
         color = scratch.save(steps.select(F.explode(F.array("src", "dst")).alias("top")).distinct().withColumn("color", F.col("top")).withColumn("fresh", F.lit(True)))

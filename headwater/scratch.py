@@ -59,6 +59,12 @@ class Scratch:
         back._scratch_path = path
         return back
 
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Adds rows to a table of this call; the whole table as read back."""
+        path = f"{self.root}/{name}"
+        df.write.mode("append").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def replace(self, old: DataFrame, new: DataFrame) -> DataFrame:
         saved = self.save(new)
         self.drop(old)

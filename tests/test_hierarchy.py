@@ -1,8 +1,10 @@
 import random
+import time
 from collections import defaultdict, deque
 
 import pytest
 
+from headwater.operators import graphs, local
 from headwater.operators.hierarchy import Hierarchy
 
 
@@ -109,3 +111,40 @@ def test_descendants_of_random_graphs(spark):
     edges = {(f"n{i}", f"n{rng.randint(max(0, i - 4), i - 1)}") for i in range(1, 30)} | {(f"n{a}", f"n{b}") for a, b in (rng.sample(range(30), 2) for _ in range(6))}
     h = Hierarchy(spark.createDataFrame(sorted(edges), "child string, parent string"))
     assert {tuple(r) for r in h.descendants().select("ancestor", "node", "distance").collect()} == closure(edges)
+
+
+def ladder(n):
+    """Two nodes on each level, both below both of the level above."""
+    return [(f"{side}{i:04}", f"{up}{i - 1:04}") for i in range(1, n) for side in "ab" for up in "ab"]
+
+
+def test_deep_ladder_of_junctions(spark):
+    n, began = 1000, time.time()
+    h = Hierarchy(spark.createDataFrame(ladder(n), "child string, parent string"))
+    got = {(r.root, r.node): r.n_links for r in h.routes().collect()}
+    assert got == {(f"{r}0000", f"{s}{i:04}"): i for r in "ab" for s in "ab" for i in range(n) if i or r == s}
+    assert h.cycles().count() == 0 and time.time() - began < 60
+
+
+@pytest.mark.parametrize("edges_in_one_task", [0, 1000])
+def test_both_ways_of_the_small_graph(spark, monkeypatch, edges_in_one_task):
+    monkeypatch.setattr(local, "LOCAL_EDGES", edges_in_one_task)
+    edges = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("f", "e"), ("f", "h"), ("g", "f"), ("h", "g"), ("h", "a"), ("i", "h"), ("i", "b"), ("s", "s2"), ("s", "t"), ("s2", "s")]
+    h = check(spark, edges)
+    assert h.paths().count() == h.routes().count()
+    up = spark.createDataFrame([(p, c) for c, p in edges], "src string, dst string")
+    got = {r.node: r.level for r in graphs.execution_levels(up).collect()}
+    assert got == {"a": 0, "t": 0, "b": 1, "c": 1, "d": 2, "e": 3, **dict.fromkeys(["f", "g", "h", "i", "s", "s2"])}
+
+
+def test_circles_in_one_task():
+    rng = random.Random(9)
+    for _ in range(60):
+        pairs = [(str(rng.randint(0, 9)), str(rng.randint(0, 9))) for _ in range(rng.randint(0, 16))]
+        nodes = {x for p in pairs for x in p}
+        reach = {n: set() for n in nodes}
+        for _ in nodes:
+            for a, b in pairs:
+                reach[a] |= {b} | reach[b]
+        want = sorted((n, min(m for m in nodes if m in reach[n] and n in reach[m])) for n in nodes if n in reach[n])
+        assert sorted(local.circles(pairs)) == want
