@@ -1,12 +1,14 @@
 """Queries that are the same but for white space, case, punctuation and the order of selected items.
 
-Each distinct text is canonicalised once into its fields: the items of each select list, and the rest of the text in order.
-Distinct fields get integer identifiers from a dictionary, each text becomes the sorted tuple of (role, identifier), and equal
-tuples are grouped. Texts themselves are shuffled once, to find the distinct ones; afterwards only identifiers are.
+Each distinct text is canonicalised once into its fields: the items of each select list, and the rest of the text in order. A
+field's identifier is an integer of 128 bits drawn from its content, so no dictionary has to be shuffled and joined. Each text
+becomes the sorted tuple of (role, identifier), and equal tuples are grouped. Of the texts each distinct one is shuffled once, to
+its hash, and combined before; all else that is shuffled are hashes, keys and tuples.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,7 +25,6 @@ TOKEN = re.compile(r"[^\W\d][\w$#@]*|\d+(?:\.\d+)?(?:[^\W\d]\w*)?|\.\d+|<>|!=|<=
 QUANTIFIERS = {"distinct", "all"}
 #: Words at the depth of a select list that end it, besides FROM.
 LIST_ENDS = {"from", "into", "union", "intersect", "except", "minus"}
-FIELDS = "array<struct<role: int, field: string>>"
 
 
 def query_fields(text: str) -> list[tuple[int, str]]:
@@ -83,32 +84,36 @@ def query_fields(text: str) -> list[tuple[int, str]]:
     return fields
 
 
-def fields_of(text: Column) -> Column:
-    """The fields of a query text as an array of structs (role, field); null for null."""
+def query_tuple(text: str) -> bytes:
+    """The sorted tuple of (role, identifier) of a query's fields: 4 and 16 bytes each."""
+    coded = sorted(role.to_bytes(4, "big") + hashlib.blake2b(field.encode("utf-8", "surrogatepass"), digest_size=16).digest() for role, field in query_fields(text))
+    return b"".join(coded)
 
-    @F.pandas_udf(FIELDS)
-    def fields(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def tuple_of(text: Column) -> Column:
+    """The tuple of a query text; null for null."""
+
+    @F.pandas_udf("binary")
+    def code(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield batch.map(lambda t: None if t is None else [{"role": r, "field": f} for r, f in query_fields(t)])
+            yield batch.map(lambda t: None if t is None else query_tuple(t))
 
-    return fields(text)
+    return code(text)
 
 
 def same_queries(entries: DataFrame, key: str, text: str) -> DataFrame:
     """Entries grouped by what they ask.
 
-    entries: each key counts once; rows with a null key or text are left out, and a key with several texts takes the least. An
-    empty text is a query like any other. Result: key, first_key (the least key of the group), copies (entries in the group).
+    entries: each key counts once; rows with a null key or text are left out, and of a key with several texts the one with the
+    least hash counts. An empty text is a query like any other. Result: key, first_key (the least key of the group), copies
+    (entries in the group).
     """
     scratch = Scratch(entries.sparkSession, "same-queries")
-    rows = entries.select(F.col(key).alias("id"), F.col(text).alias("t")).dropna().groupBy("id").agg(F.min("t").alias("t"))
-    rows = scratch.save(rows.select("id", F.md5("t").alias("h"), "t"))
-    texts = rows.groupBy("h").agg(F.min("t").alias("t"))
-    fields = scratch.save(texts.select("h", F.explode(fields_of(F.col("t"))).alias("f")).select("h", "f.role", "f.field"))
-    dictionary = scratch.save(fields.select("field").distinct().select("field", F.monotonically_increasing_id().alias("code")))
-    tuples = fields.join(dictionary, "field").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("role", "code"))).alias("tuple"))
+    hashed = entries.select(F.col(key).alias("id"), F.col(text).alias("t")).dropna().select("id", F.unhex(F.md5("t")).alias("h"), "t")
+    rows = scratch.save(hashed.groupBy("id").agg(F.min("h").alias("h")))
     counts = rows.groupBy("h").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    coded = scratch.save(tuples.join(counts, "h"))
+    texts = hashed.groupBy("h").agg(F.first("t").alias("t"))
+    coded = scratch.save(texts.select("h", tuple_of(F.col("t")).alias("tuple")).join(counts, "h"))
     groups = coded.groupBy("tuple").agg(F.min("least").alias("first_key"), F.sum("n").alias("copies"))
     by_text = coded.join(groups, "tuple").select("h", "first_key", "copies")
     return rows.join(by_text, "h").select(F.col("id").alias(key), "first_key", "copies")

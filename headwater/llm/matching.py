@@ -57,7 +57,7 @@ def _words(name: Column) -> Column:
     plain = F.translate(F.translate(name, MARKED, PLAIN), MARKED.upper(), PLAIN.upper())
     split = F.split(F.lower(F.regexp_replace(plain, r"([a-z])([A-Z])", "$1_$2")), r"[^a-z0-9#@$]+")
     first = lambda w: F.get(w, F.lit(0))
-    without = lambda w: F.when((first(w) == "tbl") & (F.size(w) > 1), F.slice(w, 2, 99)).otherwise(w)
+    without = lambda w: F.when((first(w) == "tbl") & (F.size(w) > 1), F.slice(w, F.lit(2), F.size(w))).otherwise(w)
     joined = lambda w: F.when(F.size(w) == 1, F.array(F.regexp_replace(first(w), r"^tbl(?=[a-z]{6})", ""))).otherwise(w)
     return _bind(F.filter(split, lambda x: x != ""), lambda w: _bind(without(w), joined))
 
@@ -172,12 +172,12 @@ def match_names(values: DataFrame, reference: DataFrame, value: str = "value", a
     ways = ref_words.groupBy("qualified_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "choices"))), lambda s: s["choices"]).alias("ways"))
     start = F.array(F.array().cast("array<string>"))
     spell = F.aggregate(
-        F.slice("ways", 2, 99),
+        F.slice("ways", F.lit(2), F.greatest(F.size("ways"), F.lit(1))),
         F.transform(F.get("ways", F.lit(0)), lambda c: F.array(c)),
         lambda acc, choices: F.flatten(F.transform(acc, lambda done: F.transform(choices, lambda c: F.array_append(done, c)))),
     )
     spelled = ways.select("qualified_name", F.explode(F.coalesce(spell, start)).alias("ws")).join(refs, "qualified_name")
-    turned = F.concat(F.slice("ws", 2, 99), F.slice("ws", 1, 1))
+    turned = F.concat(F.slice("ws", F.lit(2), F.greatest(F.size("ws"), F.lit(1))), F.slice("ws", 1, 1))
     forms = spelled.select("qualified_name", "schema", "db", "words", (F.col("ws") != F.col("words")).alias("is_short"), F.explode(F.array(F.array_join("ws", ""), F.array_join(turned, ""))).alias("f")).distinct()
     forms = scratch.save(forms)
 

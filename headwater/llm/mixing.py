@@ -14,8 +14,6 @@ from headwater.scratch import Scratch
 
 #: Documents of a source that one task sorts.
 RANGE_DOCS = 250_000
-#: Sources with targets; their table is collected.
-MAX_SOURCES = 10_000
 
 
 def source_name(source: Column) -> Column:
@@ -23,43 +21,37 @@ def source_name(source: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.regexp_replace(source, r"^[\s\xA0]+|[\s\xA0]+$", "")), r"[\s\xA0\-_]+", "_"), F.lit(""))
 
 
-def budgets(targets: list[tuple[str, float, int]], sizes: dict[str, int]) -> dict[str, tuple[int, int]]:
-    """Whole epochs and rest of the budget of each source that has a share and a size.
+def budgets(targets: DataFrame, totals: DataFrame) -> DataFrame:
+    """Whole epochs and rest of the budget of each source that has a share and a size: source, epochs, rest.
 
-    The total is the greatest of which each source can fill its share with max_repeats uses. Shares are taken relative to those
-    of the sources that have any documents.
+    targets: source, target_share, max_repeats; totals: source, size. The total is the greatest of which each source can fill its
+    share with max_repeats uses. Shares are taken relative to those of the sources that have any documents.
     """
-    usable = [(s, share, most) for s, share, most in targets if share > 0 and most > 0 and sizes.get(s, 0) > 0]
-    whole = sum(share for _, share, _ in usable)
-    if not usable:
-        return {}
-    total = min(most * sizes[s] / (share / whole) for s, share, most in usable)
-    out = {}
-    for s, share, most in usable:
-        budget = min(round(total * share / whole), most * sizes[s])
-        out[s] = divmod(budget, sizes[s])
-    return out
+    usable = targets.join(totals, "source").filter("target_share > 0 and max_repeats > 0 and size > 0")
+    most = F.col("max_repeats") * F.col("size")
+    # As total = per_share * whole and budget = total * share / whole, the sum of the shares cancels out.
+    per_share = usable.agg(F.min(most / F.col("target_share")).alias("per_share")).scalar()
+    budget = F.least(F.round(per_share * F.col("target_share")).cast("bigint"), most)
+    return usable.select("source", "size", budget.alias("budget")).select("source", F.expr("budget div size").alias("epochs"), F.expr("budget % size").alias("rest"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """Uses of each document in the mixture: doc_id, source, size, n_uses (at least 1).
 
-    docs: doc_id, source, size; targets: source, target_share, max_repeats. Sources are compared in one spelling. Documents of
-    sources without a target, and with a null doc_id, aren't used; a null size counts as 0. Documents aren't cut: the one that
-    the budget ends in is used if most of it is within the budget. Empty tables give an empty mixture.
+    docs: doc_id, source, size; targets: source, target_share, max_repeats, of which a source counts once, with its greatest share.
+    Sources are compared in one spelling. Documents of sources without a target, and with a null doc_id, aren't used; a null size
+    counts as 0. Documents aren't cut: the one that the budget ends in is used if most of it is within the budget. Empty tables
+    give an empty mixture.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").dropna().limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")
-    wanted = {r["source"]: (r["source"], float(r["target_share"]), int(r["max_repeats"])) for r in rows}
+    wanted = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("bigint").alias("max_repeats")).dropna()
+    wanted = wanted.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.*")
     named = docs.select("doc_id", source_name(F.col("source")).alias("source"), F.coalesce("size", F.lit(0)).cast("bigint").alias("size")).filter("doc_id is not null")
-    named = scratch.save(named.filter(F.col("source").isin(list(wanted))) if wanted else named.limit(0))
-    totals = {r["source"]: r for r in named.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
-    plan = budgets(list(wanted.values()), {s: r["size"] for s, r in totals.items()})
-    most = max((r["n"] for r in totals.values()), default=0)
+    named = scratch.save(named.join(wanted.select("source"), "source", "left_semi"))
+    totals = scratch.save(named.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    cuts = budgets(wanted, totals.select("source", "size"))
+    most = totals.agg(F.max("n")).first()[0] or 0
     bits = max(0, (most // RANGE_DOCS).bit_length())
-    cuts = docs.sparkSession.createDataFrame([(s, e, r) for s, (e, r) in plan.items()], "source string, epochs bigint, rest bigint")
     keyed = named.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("range", F.shiftright(F.col("key"), 63 - bits + 1) if bits else F.lit(0).cast("bigint"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("source", "range").agg(F.sum("size").alias("s")).select("source", "range", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("offset"))

@@ -9,6 +9,7 @@ up their container in parallel. The result is that of placing all items one by o
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +29,7 @@ class RoomTree:
 
     def __init__(self, capacity: int):
         self.leaves = 1 << capacity.bit_length()
-        self.counts = [0] * (2 * self.leaves)
+        self.counts: dict[int, int] = defaultdict(int)  # only of nodes with open containers
 
     def add(self, room: int, n: int) -> None:
         i = room + self.leaves
@@ -38,17 +39,18 @@ class RoomTree:
 
     def tightest(self, size: int) -> int | None:
         i = size + self.leaves
-        if self.counts[i]:
+        has = self.counts.get
+        if has(i):
             return size
         while i > 1:
-            if i % 2 == 0 and self.counts[i + 1]:
+            if i % 2 == 0 and has(i + 1):
                 i += 1
                 break
             i //= 2
         else:
             return None
         while i < self.leaves:
-            i = 2 * i if self.counts[2 * i] else 2 * i + 1
+            i = 2 * i if has(2 * i) else 2 * i + 1
         return i - self.leaves
 
 
@@ -114,14 +116,31 @@ def split_items(sizes: DataFrame, capacity: int) -> DataFrame:
     return cut.select("id", "part", (F.col("part") * capacity).alias("start"), F.least(F.lit(capacity), F.col("whole") - F.col("part") * capacity).cast("int").alias("size"))
 
 
+def containers_of(steps: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Containers of items by size and rank. steps: rows size, rank, container, per, sorted by size and rank. Items of size 0 go to
+    container 0."""
+    s, r, c, per = steps
+    out = np.zeros(len(size), "int64")
+    values, which = np.unique(size, return_inverse=True)
+    begin, end = np.searchsorted(s, values, "left"), np.searchsorted(s, values, "right")
+    rows = np.argsort(which, kind="stable")
+    bounds = np.searchsorted(which[rows], np.arange(len(values) + 1))
+    for k, value in enumerate(values):
+        if value > 0:
+            at = rows[bounds[k] : bounds[k + 1]]
+            step = begin[k] + np.searchsorted(r[begin[k] : end[k]], rank[at], "right") - 1
+            out[at] = c[step] + (rank[at] - r[step]) // per[step]
+    return out
+
+
 def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """Containers of all items: key, part, start, size, container.
 
     sizes: one row per item; a null size counts as 0, rows with a null key are left out. Items of size 0 take no room and go to
     container 0. Containers are numbered from 0 without gaps. An empty table gives an empty result.
     """
-    if capacity < 1:
-        raise ValueError("the capacity must be positive")
+    if not 1 <= capacity < 2**31:
+        raise ValueError("the capacity must be positive and below 2^31")
     scratch = Scratch(sizes.sparkSession, "packing")
     once = sizes.select(F.col(key).alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size")).filter("id is not null")
     items = scratch.save(split_items(once, capacity))
@@ -134,22 +153,15 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     in_group = F.row_number().over(Window.partitionBy("size", "grp").orderBy("id", "part")) - 1
     ranked = grouped.withColumn("rank", in_group).join(offsets, ["size", "grp"]).withColumn("rank", (F.col("rank") + F.col("offset")).cast("bigint"))
 
-    # Steps are sorted by size and rank; sizes are below 2^20 and ranks below 2^43 by far.
+    # Steps are sorted by size and, within a size, by rank: first the size's steps are looked up, then the rank among them.
     order = np.lexsort((np.array(plan.rank, dtype="int64"), np.array(plan.size, dtype="int64")))
     steps = np.array([plan.size, plan.rank, plan.container, plan.per], dtype="int64").reshape(4, -1)[:, order]
     shared = sizes.sparkSession.sparkContext.broadcast(steps)
 
     @F.pandas_udf("bigint")
     def container(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        s, r, c, p = shared.value
-        keys = (s << 43) + r
         for size_, rank_ in batches:
-            a, b = size_.to_numpy("int64"), rank_.to_numpy("int64")
-            if not len(keys):
-                yield pd.Series(np.zeros(len(a), "int64"))
-                continue
-            at = np.clip(np.searchsorted(keys, (a << 43) + b, side="right") - 1, 0, None)
-            yield pd.Series(np.where(a == 0, 0, c[at] + (b - r[at]) // np.maximum(p[at], 1)))
+            yield pd.Series(containers_of(shared.value, size_.to_numpy("int64"), rank_.to_numpy("int64")))
 
     return ranked.select(F.col("id").alias(key), "part", "start", "size", container("size", "rank").alias("container"))
 

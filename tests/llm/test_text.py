@@ -132,6 +132,19 @@ def test_pack_equals_one_by_one(spark):
     assert packing.pack(df.limit(0), "id", "size", 40).count() == 0
 
 
+@pytest.mark.parametrize("capacity", [2**20 - 1, 2**20, 2_000_000, 2**30])
+def test_pack_into_large_containers(spark, capacity):
+    items = [capacity, capacity // 2 + 1, capacity // 2, capacity // 3, capacity // 3, 5, 5, capacity + 7]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(items)), "id long, size long"), "id", "size", capacity).collect()
+    used = collections.Counter()
+    for r in rows:
+        used[r["container"]] += r["size"]
+    assert sum(used.values()) == sum(items) and max(used.values()) <= capacity
+    assert sorted(capacity - u for u in used.values()) == one_by_one([*items[:7], capacity, 7], capacity)
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 1)], "id long, size long"), "id", "size", 2**31)
+
+
 # ---- mixing
 def test_mix_shares_and_repeats(spark):
     rng = random.Random(8)
