@@ -19,6 +19,11 @@ def python(*args, submit=None):
 def test_settings_given_from_outside_stay():
     code = "from headwater.session import get_session; s = get_session(); print(s.sparkContext.master, s.conf.get('spark.sql.shuffle.partitions'), s.conf.get('spark.sql.session.timeZone'), s.sparkContext.appName)"
     assert python("-c", code, submit="--master local[3] --name given --conf spark.sql.shuffle.partitions=7 pyspark-shell").split() == ["local[3]", "7", "UTC", "given"]
+    os.environ["BENCH_CPUS"] = "2"
+    try:
+        assert python("-c", code).split() == ["local[2]", "2", "UTC", "headwater"]
+    finally:
+        del os.environ["BENCH_CPUS"]
 
 
 def test_command_line(tmp_path):
