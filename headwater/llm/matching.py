@@ -1,10 +1,12 @@
 """Mapping of hand-typed names to the entry of a reference list that is meant. Built-in functions only.
 
-A typed value is cleaned of what surrounds names (quotes, aliases, hints, database), cut into words, known abbreviations are
-written out, and the words are joined without separators. Entries come in the forms people type them in: words in order or with
-the prefix last, in full or abbreviated. Values and forms meet by the pigeonhole principle: a form cut into k + 1 segments keeps
-one of them whole under k edits, so an equality join on segments at their possible places finds all pairs within k. The built-in
-levenshtein verifies, and an anti-join reports values that no entry suits.
+A typed value is cleaned of what surrounds names (quotes, aliases, hints, database) and cut into words. Words that the list
+doesn't have are taken for abbreviations of its words where only one suits, or where one makes most values names of the list.
+With these written out, the words are joined without separators, and so are those of the entries, in order or with the prefix
+last. Values and entries meet by the pigeonhole principle: a form cut into k + 1 segments keeps one of them whole under k edits,
+so an equality join on segments at their possible places finds all pairs within k. The built-in levenshtein verifies, and an
+anti-join reports values that no entry suits. Values whose words aren't separated and are abbreviated besides are read from
+their start on, by equality joins of their beginnings with the known spellings of words, as often as entries have words.
 """
 
 from __future__ import annotations
@@ -20,16 +22,6 @@ from headwater.scratch import Scratch
 MAX_EDITS = 4
 #: Slips that a value may have; a slip is a letter too many, missing, wrong, or two swapped.
 MAX_SLIPS = 2
-#: The same for values in which words are abbreviated and not separated.
-MAX_SLIPS_SHORT = 1
-
-#: Abbreviations in use for words of table names. More are learnt from the values themselves.
-ABBREVIATIONS = {
-    "acct": "account", "adjmt": "adjustment", "bal": "balance", "contr": "contract", "cust": "customer", "empl": "employee",
-    "hdr": "header", "hist": "history", "inspct": "inspection", "invc": "invoice", "invtry": "inventory", "mach": "machine",
-    "map": "mapping", "mtg": "mortgage", "prod": "product", "pymt": "payment", "shpmt": "shipment", "snap": "snapshot",
-    "stat": "status", "subscr": "subscription", "summ": "summary", "vhcl": "vehicle", "wrnty": "warranty",
-}
 #: Letters with marks, and the letters they are typed for.
 MARKED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn"
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -113,18 +105,68 @@ def pigeonhole_pairs(values: DataFrame, forms: DataFrame, k: int = MAX_EDITS) ->
     return found.filter("edits >= 0").unionByName(equal).distinct()
 
 
+def _abbreviations(typed: DataFrame, refs: DataFrame, vocabulary: DataFrame, listed: DataFrame) -> DataFrame:
+    """Abbreviations among the words of values and the word that each stands for: w, word.
+
+    An abbreviation has at least three letters and at most two thirds of the word's, begins like it and has its letters in the
+    word's order. It stands for the only word that it begins, else for the only word that it suits; of several, for the one that
+    makes most values names of entries, and so if it may be a slip for other words. What is listed counts first.
+    """
+    word = typed.select(F.explode("words").alias("w")).distinct()
+    strange = word.join(vocabulary, F.col("w") == F.col("word"), "left_anti")
+    # Both meet on the first three letters of the abbreviation: three letters of the word, the first one its initial.
+    triples = F.expr("array_distinct(flatten(transform(sequence(2, length(word) - 1), i -> transform(sequence(i + 1, length(word)), j -> concat(substring(word, 1, 1), substring(word, i, 1), substring(word, j, 1))))))")
+    ways = vocabulary.filter(F.length("word") >= 3).select("word", F.explode(triples).alias("triple"))
+    short = strange.filter(F.col("w").rlike("^[a-z]{3,}$")).join(ways, F.substring("w", 1, 3) == F.col("triple")).filter(F.length("w") * 3 <= F.length("word") * 2)
+    short = short.filter(F.rlike("word", F.concat(F.lit("^"), F.array_join(F.split("w", ""), ".*")))).select("w", "word").distinct()
+    slips = pigeonhole_pairs(strange.select(F.lit("").alias("scope"), F.col("w").alias("v")), vocabulary.select(F.lit("").alias("scope"), F.col("word").alias("f")), 2)
+    short = short.join(listed.select("w"), "w", "left_anti").withColumn("starts", F.col("word").startswith(F.col("w")).cast("int"))
+    slips = slips.filter(_near(F.col("v"), F.col("f"))).select(F.col("v").alias("w"), F.col("f").alias("word")).join(short.select("w"), "w", "left_semi")
+    per = short.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("starts").alias("n_starts"))
+    per = per.join(slips.select("w", F.lit(True).alias("is_slip")).distinct(), "w", "left")
+    short = short.join(per, "w")
+    only = F.col("is_slip").isNull() & ((F.col("n_starts") == 1) & (F.col("starts") == 1) | (F.col("n_starts") != 1) & (F.col("n") == 1))
+    given = listed.join(vocabulary, "word", "left_semi").join(vocabulary.select(F.col("word").alias("w")), "w", "left_anti").select("w", "word")
+    scratch = Scratch(typed.sparkSession, "abbreviations")
+    sure = scratch.save(short.filter(only).select("w", "word").unionByName(given))
+    open_ = short.select("w", "word").unionByName(slips).distinct()
+    open_ = scratch.save(open_.join(sure.select("w"), "w", "left_anti"))
+    words = typed.select("raw", "schema", F.posexplode("words").alias("pos", "w")).join(sure, "w", "left").join(open_.select("w").distinct().withColumn("is_open", F.lit(1)), "w", "left")
+    words = words.groupBy("raw", "schema").agg(F.sum("is_open").alias("n_open"), F.min(F.when(F.col("is_open") == 1, F.col("w"))).alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("word", "w").alias("x")))), lambda p: p["x"]).alias("ws"))
+    names = refs.select(F.array_join("words", " ").alias("name"), F.explode(F.array("schema", F.lit(""))).alias("scope")).distinct()
+    tried = words.filter("n_open = 1").join(open_, "w").select("raw", "w", "word", F.coalesce("schema", F.lit("")).alias("scope"), F.array_join(F.transform("ws", lambda x: F.when(x == F.col("w"), F.col("word")).otherwise(x)), " ").alias("name"))
+    votes = tried.join(names, ["name", "scope"], "left_semi").groupBy("w", "word").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("w", "votes").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("word")).groupBy("w").agg(F.max(F.struct("votes", "n", "word")).alias("b"))
+    return sure.unionByName(best.filter("b.n = 1").select("w", "b.word").join(short.select("w", "word"), ["w", "word"], "left_semi")).distinct()
+
+
+def _read_through(clean: DataFrame, spellings: DataFrame, n_words: int, longest: int) -> DataFrame:
+    """Values read as spellings of words without separators, with all words written out: raw, f.
+
+    clean: raw, v; spellings: piece, word. Each of n_words rounds takes a spelling from the start of what is left.
+    """
+    pieces = spellings.unionByName(spellings.sparkSession.createDataFrame([("", "")], "piece string, word string"))
+    state = clean.select("raw", "v", F.lit(1).alias("at"), F.lit("").alias("f"))
+    for _ in range(n_words):
+        left = F.length("v") - F.col("at") + 1
+        lengths = F.when(left > 0, F.sequence(F.lit(1), F.least(left, F.lit(longest)))).otherwise(F.array(F.lit(0)))  # 0: read to the end
+        state = state.select("*", F.explode(lengths).alias("n")).withColumn("piece", F.expr("substring(v, at, n)")).join(pieces, "piece")
+        state = state.select("raw", "v", (F.col("at") + F.col("n")).alias("at"), F.concat("f", "word").alias("f"))
+    return state.filter(F.col("at") > F.length("v")).select("raw", "f").distinct()
+
+
 def match_names(values: DataFrame, reference: DataFrame, value: str = "value", abbreviations: dict[str, str] | None = None) -> DataFrame:
     """The entry of the reference list that each typed value means.
 
     values: one column of distinct typed values. reference: qualified_name (schema.table), schema_name, table_name,
     database_name. An entry suits a value if its schema and database are those given, as far as given, if there are at most
-    MAX_SLIPS slips between a form of its name and the value's, and if the value has no word that occurs in other entries but
-    not in this one. The entry with the fewest slips is meant; of two with as few, none.
+    MAX_SLIPS slips between its name and the value's with abbreviations written out, and if the value has no word that occurs in
+    other entries but not in this one. The entry with the fewest slips is meant; of two with as few, none. abbreviations are
+    those known beforehand; all others are learnt from the values.
 
     Null values have no row. Empty values, temporary tables and what else names no stored table are unmatched. Without
     reference entries, all are. Result: value, qualified_name (null if none is meant).
     """
-    known = abbreviations if abbreviations is not None else ABBREVIATIONS
     spark = values.sparkSession
     scratch = Scratch(spark, "matching")
     vals = values.select(F.col(value).alias("raw")).filter("raw is not null").distinct()
@@ -132,27 +174,12 @@ def match_names(values: DataFrame, reference: DataFrame, value: str = "value", a
     parts = vals.select("raw", F.explode(F.array(_parts(F.col("raw")))).alias("p")).filter("size(p) > 0")
     part = lambda i: F.lower(F.translate(F.get(F.reverse("p"), F.lit(i)), MARKED, PLAIN))
     typed = parts.select("raw", part(1).alias("schema"), part(2).alias("db"), _words(F.get(F.reverse("p"), F.lit(0))).alias("words")).filter("size(words) > 0")
+    typed = scratch.save(typed)
     refs = reference.select("qualified_name", F.lower("schema_name").alias("schema"), F.lower("database_name").alias("db"), _words(F.col("table_name")).alias("words")).dropna(subset=["qualified_name"]).distinct()
+    refs = scratch.save(refs)
     vocabulary = refs.select(F.explode("words").alias("word")).distinct()
-
-    typed = scratch.save(typed)
-
-    # Words that aren't known: near to one (a slip), or an abbreviation of exactly one.
-    word = typed.select(F.explode("words").alias("w")).distinct()
-    strange = word.join(vocabulary, F.col("w") == F.col("word"), "left_anti")
-    listed = spark.createDataFrame(sorted(known.items()) or [("", "")], "w string, word string")
-    initial = lambda c: F.substring(c, 1, 1)
-    pairs = strange.join(vocabulary, initial(F.col("w")) == initial(F.col("word")))
-    # Slips may be in the first letter; those are found by the rest of the word.
-    others = strange.join(vocabulary, F.substring(F.col("w"), -2, 2) == F.substring(F.col("word"), -2, 2))
-    slips = pairs.unionByName(others).filter(_near(F.col("w"), F.col("word"))).select("w").distinct()
-    pattern = F.when(F.col("w").rlike("^[a-z]+$"), F.concat(F.lit("^"), F.array_join(F.split("w", ""), ".*")))
-    short = pairs.filter((F.length("w") >= 3) & (F.length("w") * 3 <= F.length("word") * 2)).filter(F.rlike("word", pattern))
-    short = short.withColumn("start", F.col("word").startswith(F.col("w"))).groupBy("w").agg(F.collect_set("word").alias("all"), F.collect_set(F.when(F.col("start"), F.col("word"))).alias("starts"))
-    short = short.select("w", F.when(F.size("starts") == 1, F.get("starts", F.lit(0))).when(F.size("all") == 1, F.get("all", F.lit(0))).alias("word")).filter("word is not null")
-    short = short.join(slips, "w", "left_anti").join(listed.select("w"), "w", "left_anti")
-    full = short.unionByName(listed.join(vocabulary, "word", "left_semi").join(vocabulary.withColumnRenamed("word", "w"), "w", "left_anti").select("w", "word")).distinct()
-    full = scratch.save(full)
+    listed = spark.createDataFrame(sorted((abbreviations or {}).items()), "w string, word string")
+    full = scratch.save(_abbreviations(typed, refs, vocabulary, listed))
 
     exploded = typed.select("raw", "schema", "db", F.posexplode("words").alias("pos", "w"))
     written = exploded.join(full, "w", "left").join(vocabulary.select(F.col("word").alias("w"), F.lit(True).alias("is_known")), "w", "left")
@@ -161,35 +188,29 @@ def match_names(values: DataFrame, reference: DataFrame, value: str = "value", a
         F.first("db").alias("db"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("word", "w").alias("x")))), lambda s: s["x"]), "").alias("v"),
         F.collect_set(F.when(F.col("is_known") | F.col("word").isNotNull(), F.coalesce("word", "w"))).alias("known_words"),
+        F.bool_or(F.col("is_known").isNull() & F.col("word").isNull()).alias("has_unknown"),
     )
-
     clean = scratch.save(clean)
 
-    # Forms of the entries, with abbreviations for values without separators.
-    shorts = full.groupBy("word").agg(F.collect_list("w").alias("abbr"))
-    ref_words = refs.select("qualified_name", F.posexplode("words").alias("pos", "word")).join(shorts, "word", "left")
-    ref_words = ref_words.select("qualified_name", "pos", F.concat(F.array("word"), F.coalesce("abbr", F.array())).alias("choices"), F.size(F.coalesce("abbr", F.array())).alias("n"))
-    ways = ref_words.groupBy("qualified_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "choices"))), lambda s: s["choices"]).alias("ways"))
-    start = F.array(F.array().cast("array<string>"))
-    spell = F.aggregate(
-        F.slice("ways", F.lit(2), F.greatest(F.size("ways"), F.lit(1))),
-        F.transform(F.get("ways", F.lit(0)), lambda c: F.array(c)),
-        lambda acc, choices: F.flatten(F.transform(acc, lambda done: F.transform(choices, lambda c: F.array_append(done, c)))),
-    )
-    spelled = ways.select("qualified_name", F.explode(F.coalesce(spell, start)).alias("ws")).join(refs, "qualified_name")
-    turned = F.concat(F.slice("ws", F.lit(2), F.greatest(F.size("ws"), F.lit(1))), F.slice("ws", 1, 1))
-    forms = spelled.select("qualified_name", "schema", "db", "words", (F.col("ws") != F.col("words")).alias("is_short"), F.explode(F.array(F.array_join("ws", ""), F.array_join(turned, ""))).alias("f")).distinct()
-    forms = scratch.save(forms)
+    # Entries with their words joined, in order and with the first one last.
+    turned = F.concat(F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))), F.slice("words", 1, 1))
+    forms = scratch.save(refs.select("*", F.explode(F.array_distinct(F.array(F.array_join("words", ""), F.array_join(turned, "")))).alias("f")))
 
     # A value with a schema is compared with that schema's forms only, one without with those of all (scope "").
     any_schema = forms.select(F.explode(F.array("schema", F.lit(""))).alias("scope"), "f").distinct()
     near = pigeonhole_pairs(clean.select(F.coalesce("schema", F.lit("")).alias("scope"), "v").distinct(), any_schema)
     near = near.withColumn("slips", _slips(F.col("v"), F.col("f"), F.col("edits"))).filter(F.col("slips") <= MAX_SLIPS)
     near = near.withColumn("schema", F.nullif("scope", F.lit(""))).drop("scope")
-    suits = clean.join(near, (clean["v"] == near["v"]) & clean["schema"].eqNullSafe(near["schema"])).drop(near["v"], near["schema"])
-    suits = suits.join(forms.select("qualified_name", F.col("schema").alias("rs"), F.col("db").alias("rd"), F.col("words").alias("rw"), "is_short", "f"), "f")
+    suits = clean.join(near, (clean["v"] == near["v"]) & clean["schema"].eqNullSafe(near["schema"])).select("raw", clean["schema"], "db", "known_words", "f", "slips")
+
+    limits = refs.agg(F.coalesce(F.max(F.size("words")), F.lit(0)), F.coalesce(F.max(F.array_max(F.transform("words", F.length))), F.lit(0))).first()
+    spellings = vocabulary.select(F.col("word").alias("piece"), "word").unionByName(full.select(F.col("w").alias("piece"), "word"))
+    through = _read_through(clean.filter("has_unknown"), spellings, *limits)
+    suits = suits.unionByName(clean.join(through, "raw").select("raw", "schema", "db", "known_words", "f", F.lit(0.0).alias("slips")))
+
+    suits = suits.join(forms.select("qualified_name", F.col("schema").alias("rs"), F.col("db").alias("rd"), F.col("words").alias("rw"), "f"), "f")
     suits = suits.filter((F.col("schema").isNull() | (F.col("schema") == F.col("rs"))) & (F.col("db").isNull() | (F.col("db") == F.col("rd"))))
-    suits = suits.filter(F.size(F.array_except("known_words", "rw")) == 0).filter(~F.col("is_short") | (F.col("slips") <= MAX_SLIPS_SHORT))
+    suits = suits.filter(F.size(F.array_except("known_words", "rw")) == 0)
     best = suits.groupBy("raw", "qualified_name").agg(F.min("slips").alias("slips")).groupBy("raw", "slips").agg(F.min("qualified_name").alias("one"), F.count(F.lit(1)).alias("n"))
     meant = best.groupBy("raw").agg(F.min(F.struct("slips", "n", "one")).alias("b")).filter("b.n = 1").select("raw", F.col("b.one").alias("qualified_name"))
     unmatched = vals.join(meant, "raw", "left_anti").select("raw", F.lit(None).cast("string").alias("qualified_name"))
