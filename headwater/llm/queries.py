@@ -84,9 +84,9 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects that each document deals with."""
     docs = table(spark, sf_dir, "documents")
-    areas = {r["subject"]: r["description"] for r in table(spark, sf_dir, "subject_areas").filter("subject is not null").limit(1000).collect()}
-    sample = subjects.labelled_sample(docs, table(spark, sf_dir, "subject_labels"), "doc_id", "text")
-    return subjects.classify(docs, subjects.fit(sample, areas), "doc_id", "text").distinct()
+    areas = {r["subject"]: r["description"] for r in table(spark, sf_dir, "subject_areas").filter("subject is not null").limit(subjects.MAX_SUBJECTS + 1).collect()}
+    hand, titled = subjects.labelled_sample(docs, table(spark, sf_dir, "subject_labels"), "doc_id", "text")
+    return subjects.classify(docs, subjects.fit(hand, areas, titled), "doc_id", "text").distinct()
 
 
 QUERIES = {

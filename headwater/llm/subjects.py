@@ -4,9 +4,10 @@ Documents are read as units (lines, sentences, clauses of statements). A unit's
 neighbouring words, with identifiers taken apart and all words reduced to their consonants, so that "freight bill",
 FreightBill, FREIGHT_BILL and frght_bll agree. Hand labels say which subjects a document has, not where; so they are weak
 labels of its units, refined in rounds: a unit keeps those of its document's labels that the model finds in it, and labels that
-no unit supports are given up as wrong. As asides occur in documents of all other subjects, the classifiers learn the phrases
+no unit supports are given up as wrong. Section titles are weak labels too: a first model reads those of documents without hand
+labels, and a second one learns from their other lines as well, if that is better on hand labels. As asides occur in documents of all other subjects, the classifiers learn the phrases
 that introduce them as evidence against every subject. A document has a subject if several of its units reach a threshold, or
-one of them a higher one; thresholds are calibrated on labelled documents that the classifiers weren't fitted on.
+one of them a higher one; each subject's thresholds are calibrated on labelled documents that the classifiers weren't fitted on.
 """
 
 from __future__ import annotations
@@ -22,15 +23,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwater.scratch import Scratch
+
 #: Hashed features; the model has so many weights per subject.
 DIM = 1 << 18
 #: Bounds of the labelled sample that the model is fitted on: documents, characters of one, units taken from one.
-MAX_DOCS, MAX_CHARS, MAX_UNITS = 6_000, 40_000, 60
+MAX_DOCS, MAX_CHARS, MAX_UNITS = 6_000, 20_000, 60
+#: Bound of the documents with titles and without hand labels that are learnt from besides.
+MAX_TITLED = 1_000
+#: Score from which a title names a subject, and the lines that are titles.
+TITLE_SCORE = 2.0
+#: Weight of a document with titles for the subjects that they do not name.
+WEAK = 0.3
+TITLE = re.compile(r"^#+[ \t]+(\S[^\n]*)", re.M)
+#: Subjects that one model may have; each takes a megabyte.
+MAX_SUBJECTS = 500
 #: Every so many labelled documents are kept for calibration.
 HELD_OUT = 5
-#: Labels that calibration needs.
-FEW = 20
-ROUNDS, EPOCHS, BATCH, RATE = 3, 2, 256, 0.35
+#: Labels that calibration needs, and that a subject needs for thresholds of its own.
+FEW, FEW_OWN = 20, 40
+#: Rounds, passes in each of them (more for few documents, so that there are STEPS in all), documents a step and rate of learning.
+ROUNDS, EPOCHS, STEPS, BATCH, RATE = 3, 2, 300, 256, 0.35
 #: Tokens scored at once, which bounds a worker's memory.
 CHUNK = 150_000
 #: Thresholds tried for a subject that several units have, and for one that a single unit has.
@@ -80,8 +93,8 @@ class Model:
     subjects: list[str]
     weights: np.ndarray  # subjects x DIM
     bias: np.ndarray
-    several: float = 1.0
-    single: float = 4.0
+    several: np.ndarray | float = 1.0  # for all subjects or for each
+    single: np.ndarray | float = 4.0
 
     def unit_scores(self, feature: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Units and their scores. A unit's score is a sum over its features, scaled by the root of their number."""
@@ -95,21 +108,44 @@ class Model:
         return ((top > self.several) & (count >= 2)) | (top > self.single)
 
 
-def fit(docs: list[tuple[str, dict[str, int]]], descriptions: dict[str, str], seed: int = 7) -> Model:
-    """A model from labelled documents (text, subject -> number of raters) and the subjects' descriptions.
+def fit(docs: list[tuple[str, dict[str, int]]], descriptions: dict[str, str], titled: list[str] | None = None, seed: int = 7) -> Model:
+    """A model from labelled documents (text, subject -> number of raters), the subjects' descriptions and documents with titles.
 
     Without labelled documents, the descriptions alone are learnt. The thresholds are set on the documents kept out of fitting; where
-    those have too few labels, each document is kept out of one of several fits.
+    those have too few labels, each document is kept out of one of several fits. Documents with titles are used if the documents
+    kept out are then classified better.
     """
-    model, *kept = _fit(docs, descriptions, seed, HELD_OUT - 1)
+    if len(descriptions) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
+    first, f1 = _calibrated(docs, [], descriptions, seed)
+    weak = [(t, found) for t in titled or [] if (found := _titles(first, t))]
+    if not weak or not docs:
+        return first
+    second, better = _calibrated(docs, weak, descriptions, seed)
+    return second if better > f1 else first
+
+
+def _titles(model: Model, text: str) -> dict[str, int]:
+    """Subjects that a text's titles name."""
+    row = np.fromiter(Words().row("\n".join(TITLE.findall(text))), dtype=np.int64)
+    _, top, _ = doc_scores(model, row, [len(row)])
+    return {model.subjects[k]: 1 for k in np.flatnonzero(top[0] > TITLE_SCORE)} if len(top) else {}
+
+
+def _calibrated(docs: list[tuple[str, dict[str, int]]], weak: list[tuple[str, dict[str, int]]], descriptions: dict[str, str], seed: int) -> tuple[Model, float]:
+    model, *kept = _fit(docs, weak, descriptions, seed, HELD_OUT - 1)
     if kept[2].sum() < FEW:
-        more = [_fit(docs, descriptions, seed, k)[1:] for k in range(HELD_OUT - 1)]
+        more = [_fit(docs, weak, descriptions, seed, k)[1:] for k in range(HELD_OUT - 1)]
         kept = [np.concatenate(x) for x in zip(kept, *more)]
-    return calibrate(model, *kept)
+    calibrate(model, *kept)
+    found, truth = model.decide(*kept[:2]), kept[2]
+    return model, 2 * (found & truth).sum() / max(1, found.sum() + truth.sum())
 
 
-def _fit(docs: list[tuple[str, dict[str, int]]], descriptions: dict[str, str], seed: int, fold: int) -> tuple[Model, np.ndarray, np.ndarray, np.ndarray]:
-    """A model without one of HELD_OUT parts of the documents; best score, number of units and labels of that part, over whole documents."""
+def _fit(docs: list[tuple[str, dict[str, int]]], weak: list[tuple[str, dict[str, int]]], descriptions: dict[str, str], seed: int, fold: int) -> tuple[Model, np.ndarray, np.ndarray, np.ndarray]:
+    """A model without one of HELD_OUT parts of the labelled documents; best score, number of units and labels of that part, over whole
+    documents. Of weak documents only the subjects given are learnt; that they lack others is not known."""
+    n_hand, docs = len(docs), docs + weak
     subjects = sorted(descriptions)
     column = {s: i for i, s in enumerate(subjects)}
     rng, words = np.random.default_rng(seed), Words()
@@ -145,19 +181,22 @@ def _fit(docs: list[tuple[str, dict[str, int]]], descriptions: dict[str, str], s
     n_learnt = int(rank[-1]) + 1 if len(rank) else 0
     slot = np.where(times[slot] > 1, rank[slot], n_learnt)
     held = np.arange(len(texts)) % HELD_OUT == fold
-    held[len(docs) :] = False
+    held[n_hand:] = False
     w, b = np.zeros((n_learnt + 1, len(subjects)), np.float32), np.full(len(subjects), -2, np.float32)
     gain, gain_b = np.full_like(w, 1e-2), np.full_like(b, 1e-2)
     scale = (1 / np.sqrt(size)).astype(np.float32)
     training = np.flatnonzero(~held[owner])
     given = labels[owner]
     target = given.copy()
+    unsure = (owner >= n_hand) & (owner < len(docs))
+    known = np.where(unsure[:, None] & (given == 0), WEAK, 1).astype(np.float32)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, ROUNDS * len(training))))
 
     def scores() -> np.ndarray:
         return np.add.reduceat(w[slot], start, axis=0) * scale[:, None] + b
 
     for _ in range(ROUNDS):
-        for _ in range(EPOCHS):
+        for _ in range(epochs):
             order = rng.permutation(training)
             for at in range(0, len(order), BATCH):
                 rows = order[at : at + BATCH]
@@ -166,7 +205,7 @@ def _fit(docs: list[tuple[str, dict[str, int]]], descriptions: dict[str, str], s
                 inside = np.arange(n.sum()) + np.repeat(start[rows] - first, n)
                 s, k = slot[inside], np.repeat(np.arange(len(rows)), n)
                 p = np.add.reduceat(w[s], first, axis=0) * scale[rows, None] + b
-                err = 1 / (1 + np.exp(-p)) - target[rows]
+                err = (1 / (1 + np.exp(-p)) - target[rows]) * known[rows]
                 by_slot = np.argsort(s, kind="stable")
                 ss = s[by_slot]
                 head = np.flatnonzero(np.r_[True, ss[1:] != ss[:-1]])
@@ -202,18 +241,26 @@ def _fit(docs: list[tuple[str, dict[str, int]]], descriptions: dict[str, str], s
 
 
 def calibrate(model: Model, top: np.ndarray, count: np.ndarray, truth: np.ndarray) -> Model:
-    """Sets the thresholds to those with the best F1 on held-out documents; of equal ones, the highest."""
+    """Sets the thresholds to those with the best F1 on held-out documents; of equal ones, the highest.
+
+    They are set for all subjects together first, and then for each subject that has labels enough, where other thresholds do better.
+    """
     if truth.sum() < FEW:
         return model
-    best = -1.0
-    for several in SEVERAL:
-        for single in (x for x in SINGLE if x >= several):
-            model.several, model.single = several, single
-            found = model.decide(top, count)
-            f1 = 2 * (found & truth).sum() / max(1, found.sum() + truth.sum())
-            if f1 >= best:
-                best, chosen = f1, (several, single)
-    model.several, model.single = chosen
+
+    def best(rows: np.ndarray, at: tuple[float, float] | None) -> tuple[float, float]:
+        most, chosen = -1.0, at
+        pairs = [(several, single) for several in SEVERAL for single in SINGLE if single >= several]
+        for model.several, model.single in [*pairs, *([at] if at else [])]:
+            found = model.decide(top[:, rows], count[:, rows])
+            f1 = 2 * (found & truth[:, rows]).sum() / max(1, found.sum() + truth[:, rows].sum())
+            if f1 >= most:
+                most, chosen = f1, (model.several, model.single)
+        return chosen
+
+    common = best(np.arange(truth.shape[1]), None)
+    own = [best(np.array([k]), common) if n >= FEW_OWN else common for k, n in enumerate(truth.sum(axis=0))]
+    model.several, model.single = (np.array(x, np.float32) for x in zip(*own))
     return model
 
 
@@ -263,9 +310,18 @@ def classify(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame:
     return some.mapInPandas(score, schema).withColumnRenamed("key", key)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str) -> list[tuple[str, dict[str, int]]]:
-    """At most MAX_DOCS labelled documents of at most MAX_CHARS characters, chosen by a hash of the key, with their labels."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[list[tuple[str, dict[str, int]]], list[str]]:
+    """The sample to fit on: labelled documents with their labels, and texts of documents with titles and without labels.
+
+    Both are chosen by a hash of the key before any text is read: MAX_DOCS labelled ones, MAX_TITLED of those with titles, of at most
+    MAX_CHARS characters each; longer ones of those chosen are left out.
+    """
     per_doc = labels.select(key, "subject").dropna().groupBy(key, "subject").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("given"))
+    per_doc = Scratch(docs.sparkSession, "labels").save(per_doc)
+    pick = F.xxhash64(key)
+    chosen = per_doc.orderBy(pick, key).limit(MAX_DOCS)
     texts = docs.select(key, F.col(text).alias("_text")).filter(F.char_length("_text").between(1, MAX_CHARS))
-    chosen = texts.join(per_doc, key).orderBy(F.xxhash64(key), key).limit(MAX_DOCS).select("_text", "given")
-    return [(r["_text"], r["given"]) for r in chosen.toLocalIterator()]
+    hand = texts.join(F.broadcast(chosen), key).orderBy(pick, key).select("_text", "given")
+    titled = texts.filter(F.col("_text").rlike(r"(?m)^#+[ \t]+\S")).select(key).join(per_doc.select(key), key, "left_anti").orderBy(pick, key).limit(MAX_TITLED)
+    other = texts.join(F.broadcast(titled), key).orderBy(pick, key).select("_text")
+    return [(r["_text"], r["given"]) for r in hand.toLocalIterator()], [r["_text"] for r in other.toLocalIterator()]
