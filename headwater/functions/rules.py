@@ -89,7 +89,7 @@ OBJECTS = {
     ],
 }
 
-#: Feature tags and how they are recognised.
+#: Feature tags (the tags are fixed values) and how they are recognised.
 FEATURES = {
     "tsql": [("TOP_N", r"(?i)\bSELECT\s+(?:DISTINCT\s+)?TOP\b"), ("APPLY", r"(?i)\b(?:CROSS|OUTER)\s+APPLY\b"), ("WINDOW", r"(?i)\bOVER\s*\("), ("PIVOT", r"(?i)\bPIVOT\s*\("), ("NOLOCK", r"(?i)\bNOLOCK\b"), ("TABLE_VARIABLE", r"(?i)\bDECLARE\s+@\w+\s+(?:AS\s+)?TABLE\b"), ("DYNAMIC_SQL", r"(?i)\bsp_executesql\b|\bEXEC(?:UTE)?\s*\(")],
     "postgres": [("ARRAY", r"(?i)\bARRAY\s*\[|\bunnest\s*\(|\barray_\w+\s*\("), ("JSONB", r"(?i)\bjsonb?_\w+\s*\(|->>?|#>>?|::\s*jsonb?\b"), ("WINDOW", r"(?i)\bOVER\s*\("), ("UPSERT", r"(?i)\bON\s+CONFLICT\b"), ("RETURNING", r"(?i)\bRETURNING\b"), ("RECURSIVE_CTE", r"(?i)\bWITH\s+RECURSIVE\b"), ("LATERAL", r"(?i)\bLATERAL\b")],
@@ -109,6 +109,26 @@ FEATURES = {
     ],
 }
 
+#: Subtypes of statements by what they use, the first that fits, where the statement's form gives none.
+SUBTYPES = {
+    "tsql": [],
+    "postgres": [("RECURSIVE_CTE", r"(?i)\bWITH\s+RECURSIVE\b")],
+    "oracle": [("PLSQL_BLOCK", r"(?is)^\s*(?:DECLARE\b.*\bBEGIN\b|BEGIN\b)")],
+    "teradata": [("QUALIFY", r"(?i)\bQUALIFY\b"), ("SAMPLE", r"(?i)\bSAMPLE\s+[0-9.]"), ("RECURSIVE_CTE", r"(?i)\bWITH\s+RECURSIVE\b")],
+    "snowflake": [
+        ("LATERAL_FLATTEN", r"(?i)\bFLATTEN\s*\("), ("PARSE_JSON", r"(?i)\bPARSE_JSON\s*\("), ("CONSTRUCT_OBJECT", r"(?i)\b(?:OBJECT|ARRAY)_CONSTRUCT"), ("TIME_TRAVEL", r"(?i)\b(?:AT|BEFORE)\s*\(\s*(?:TIMESTAMP|OFFSET|STATEMENT|STREAM)\s*=>"),
+        ("CHANGES", r"(?i)\bCHANGES\s*\("), ("RESULT_SCAN", r"(?i)\bRESULT_SCAN\s*\("), ("QUERY_METADATA", r"(?i)\bLAST_QUERY_ID\s*\("), ("QUALIFY", r"(?i)\bQUALIFY\b"), ("MATCH_RECOGNIZE", r"(?i)\bMATCH_RECOGNIZE\b"),
+        ("COPY_INTO", r"(?i)\bCOPY\s+INTO\b"), ("STAGE_REFERENCE", r"(?i)(?:FROM|INTO)\s+@"), ("PIVOT", r"(?i)\bPIVOT\s*\("), ("UNPIVOT", r"(?i)\bUNPIVOT\s*\("), ("CONNECT_BY", r"(?i)\bCONNECT\s+BY\b"), ("SAMPLE", r"(?i)\b(?:TABLE)?SAMPLE\b"),
+        ("GENERATOR", r"(?i)\bGENERATOR\s*\("), ("GEOSPATIAL", r"(?i)\bST_\w+\s*\(|\bTO_GEO(?:GRAPHY|METRY)\s*\("), ("EXTERNAL_TABLE", r"(?i)\bEXTERNAL\s+TABLE\b"), ("SECURE_VIEW", r"(?i)\bSECURE\s+VIEW\b"), ("STREAM_CHECK", r"(?i)\bSYSTEM\$STREAM_HAS_DATA\s*\("),
+        ("MASKING_POLICY", r"(?i)\bMASKING\s+POLICY\b"), ("ROW_ACCESS_POLICY", r"(?i)\bROW\s+ACCESS\s+POLICY\b"),
+    ],
+}
+#: Classes of transformation that a dialect names otherwise.
+TRANSFORM_NAMES = {
+    "postgres": {"case": "case_statement", "arithmetic": "calculation"},
+    "oracle": {"arithmetic": "calculated", "case": "calculated", "concat": "calculated", "cast": "calculated", "coalesce": "calculated", "substring": "calculated", "function": "calculated", "merge_update": "merge", "merge_insert": "merge"},
+}
+
 #: Words a statement with lineage may start with.
 _STARTS = ["SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "WITH", "CREATE", "ALTER", "DROP", "TRUNCATE"]
 STATEMENT_STARTS = {
@@ -141,26 +161,26 @@ SYSTEM_PREFIX = r"^(?:sp_|fn_|dt_|xp_)"
 
 #: Families of functions, and the built-in of Spark where there is one.
 FUNCTION_FAMILIES = {
-    "json_parse": "PARSE_JSON TO_JSON TO_VARIANT TRY_PARSE_JSON",
-    "object_construct": "OBJECT_CONSTRUCT OBJECT_CONSTRUCT_KEEP_NULL",
-    "array_construct": "ARRAY_CONSTRUCT ARRAY_CONSTRUCT_COMPACT",
-    "flatten": "FLATTEN",
-    "array_aggregate": "ARRAY_AGG OBJECT_AGG ARRAYAGG OBJECTAGG JSONB_AGG STRING_AGG",
-    "semi_structured_access": "GET GET_PATH OBJECT_KEYS ARRAY_SIZE ARRAY_SLICE",
-    "geospatial": "TO_GEOGRAPHY TO_GEOMETRY",
-    "aggregate": "SUM COUNT AVG MIN MAX COUNT_BIG",
-    "window_function": "ROW_NUMBER RANK DENSE_RANK NTILE LAG LEAD FIRST_VALUE LAST_VALUE NTH_VALUE CUME_DIST PERCENT_RANK",
-    "conditional": "IFF NULLIF ZEROIFNULL NULLIFZERO NVL NVL2 DECODE IFNULL COALESCE GREATEST LEAST ISNULL",
-    "date_function": "DATEADD DATEDIFF DATE_TRUNC TIME_SLICE CONVERT_TIMEZONE TIMESTAMPADD TIMESTAMPDIFF DATE_PART DAYOFWEEK DAYOFYEAR WEEKOFYEAR LAST_DAY NEXT_DAY PREVIOUS_DAY ADD_MONTHS GETDATE CURRENT_DATE SYSDATE YEAR MONTH DAY DATEPART",
-    "string_function": "SPLIT_PART STRTOK STRTOK_TO_ARRAY SPLIT REGEXP_REPLACE REGEXP_SUBSTR REGEXP_COUNT REGEXP_INSTR TRIM LTRIM RTRIM LPAD RPAD REPEAT REVERSE TRANSLATE INITCAP SOUNDEX EDITDISTANCE UPPER LOWER SUBSTR SUBSTRING CONCAT REPLACE LENGTH LEN CHARACTERS BYTES",
-    "conversion": "CAST CONVERT TRY_CAST TRY_CONVERT TRY_TO_NUMBER TRY_TO_DECIMAL TRY_TO_DOUBLE TRY_TO_DATE TRY_TO_TIMESTAMP TRY_TO_BINARY TRY_TO_BOOLEAN TO_CHAR TO_VARCHAR TO_NUMBER TO_DECIMAL TO_DOUBLE TO_DATE TO_TIMESTAMP TO_TIME TO_BINARY TO_BOOLEAN",
-    "hash_encrypt": "HASH MD5 MD5_HEX SHA1 SHA1_HEX SHA2 SHA2_HEX ENCRYPT DECRYPT ENCRYPT_RAW DECRYPT_RAW HASHROW HASHAMP HASHBUCKET",
-    "advanced_aggregate": "LISTAGG MEDIAN MODE PERCENTILE_CONT PERCENTILE_DISC STDDEV STDDEV_POP STDDEV_SAMP VARIANCE VAR_POP VAR_SAMP CORR COVAR_POP COVAR_SAMP REGR_SLOPE REGR_INTERCEPT APPROX_COUNT_DISTINCT HLL APPROX_PERCENTILE APPROX_TOP_K MINHASH",
-    "bitwise": "BITAND BITOR BITXOR BITNOT BITSHIFTLEFT BITSHIFTRIGHT",
-    "system_function": "CURRENT_USER CURRENT_ROLE CURRENT_WAREHOUSE CURRENT_DATABASE CURRENT_SCHEMA CURRENT_SESSION CURRENT_STATEMENT",
-    "table_function": "GENERATOR RESULT_SCAN VALIDATE INFER_SCHEMA SPLIT_TO_TABLE STRTOK_SPLIT_TO_TABLE",
-    "random": "RANDOM",
-}
-FAMILY_OF = {name: family for family, names in FUNCTION_FAMILIES.items() for name in names.split()}
+    "json_parse": ["PARSE_JSON", "TO_JSON", "TO_VARIANT", "TRY_PARSE_JSON"],
+    "object_construct": ["OBJECT_CONSTRUCT", "OBJECT_CONSTRUCT_KEEP_NULL"],
+    "array_construct": ["ARRAY_CONSTRUCT", "ARRAY_CONSTRUCT_COMPACT"],
+    "flatten": ["FLATTEN"],
+    "array_aggregate": ["ARRAY_AGG", "OBJECT_AGG", "ARRAYAGG", "OBJECTAGG", "JSONB_AGG", "STRING_AGG"],
+    "semi_structured_access": ["GET", "GET_PATH", "OBJECT_KEYS", "ARRAY_SIZE", "ARRAY_SLICE"],
+    "geospatial": ["TO_GEOGRAPHY", "TO_GEOMETRY"],
+    "aggregate": ["SUM", "COUNT", "AVG", "MIN", "MAX", "COUNT_BIG"],
+    "window_function": ["ROW_NUMBER", "RANK", "DENSE_RANK", "NTILE", "LAG", "LEAD", "FIRST_VALUE", "LAST_VALUE", "NTH_VALUE", "CUME_DIST", "PERCENT_RANK"],
+    "conditional": ["IFF", "NULLIF", "ZEROIFNULL", "NULLIFZERO", "NVL", "NVL2", "DECODE", "IFNULL", "COALESCE", "GREATEST", "LEAST", "ISNULL"],
+    "date_function": ["DATEADD", "DATEDIFF", "DATE_TRUNC", "TIME_SLICE", "CONVERT_TIMEZONE", "TIMESTAMPADD", "TIMESTAMPDIFF", "DATE_PART", "DAYOFWEEK", "DAYOFYEAR", "WEEKOFYEAR", "LAST_DAY", "NEXT_DAY", "PREVIOUS_DAY", "ADD_MONTHS", "GETDATE", "CURRENT_DATE", "SYSDATE", "YEAR", "MONTH", "DAY", "DATEPART"],
+    "string_function": ["SPLIT_PART", "STRTOK", "STRTOK_TO_ARRAY", "SPLIT", "REGEXP_REPLACE", "REGEXP_SUBSTR", "REGEXP_COUNT", "REGEXP_INSTR", "TRIM", "LTRIM", "RTRIM", "LPAD", "RPAD", "REPEAT", "REVERSE", "TRANSLATE", "INITCAP", "SOUNDEX", "EDITDISTANCE", "UPPER", "LOWER", "SUBSTR", "SUBSTRING", "CONCAT", "REPLACE", "LENGTH", "LEN", "CHARACTERS", "BYTES"],
+    "conversion": ["CAST", "CONVERT", "TRY_CAST", "TRY_CONVERT", "TRY_TO_NUMBER", "TRY_TO_DECIMAL", "TRY_TO_DOUBLE", "TRY_TO_DATE", "TRY_TO_TIMESTAMP", "TRY_TO_BINARY", "TRY_TO_BOOLEAN", "TO_CHAR", "TO_VARCHAR", "TO_NUMBER", "TO_DECIMAL", "TO_DOUBLE", "TO_DATE", "TO_TIMESTAMP", "TO_TIME", "TO_BINARY", "TO_BOOLEAN"],
+    "hash_encrypt": ["HASH", "MD5", "MD5_HEX", "SHA1", "SHA1_HEX", "SHA2", "SHA2_HEX", "ENCRYPT", "DECRYPT", "ENCRYPT_RAW", "DECRYPT_RAW", "HASHROW", "HASHAMP", "HASHBUCKET"],
+    "advanced_aggregate": ["LISTAGG", "MEDIAN", "MODE", "PERCENTILE_CONT", "PERCENTILE_DISC", "STDDEV", "STDDEV_POP", "STDDEV_SAMP", "VARIANCE", "VAR_POP", "VAR_SAMP", "CORR", "COVAR_POP", "COVAR_SAMP", "REGR_SLOPE", "REGR_INTERCEPT", "APPROX_COUNT_DISTINCT", "HLL", "APPROX_PERCENTILE", "APPROX_TOP_K", "MINHASH"],
+    "bitwise": ["BITAND", "BITOR", "BITXOR", "BITNOT", "BITSHIFTLEFT", "BITSHIFTRIGHT"],
+    "system_function": ["CURRENT_USER", "CURRENT_ROLE", "CURRENT_WAREHOUSE", "CURRENT_DATABASE", "CURRENT_SCHEMA", "CURRENT_SESSION", "CURRENT_STATEMENT"],
+    "table_function": ["GENERATOR", "RESULT_SCAN", "VALIDATE", "INFER_SCHEMA", "SPLIT_TO_TABLE", "STRTOK_SPLIT_TO_TABLE"],
+    "random": ["RANDOM"],
+}
+FAMILY_OF = {name: family for family, names in FUNCTION_FAMILIES.items() for name in names}
 #: Built-ins of Spark under another name.
 SPARK_FUNCTION = {"TO_VARIANT": "to_variant_object", "ARRAYAGG": "array_agg", "OBJECT_KEYS": "map_keys", "ARRAY_SIZE": "size", "ARRAY_SLICE": "slice", "GET_PATH": "variant_get", "GET": "element_at", "DATEADD": "timestampadd", "DATEDIFF": "timestampdiff", "IFF": "if", "ISNULL": "ifnull", "EDITDISTANCE": "levenshtein", "LEN": "length", "CHARACTERS": "length", "BYTES": "octet_length", "HASH": "xxhash64", "HLL": "approx_count_distinct", "GETDATE": "current_timestamp", "SYSDATE": "current_timestamp", "STRTOK": "split_part", "MD5_HEX": "md5", "SHA1_HEX": "sha1", "SHA2_HEX": "sha2", "COUNT_BIG": "count", "BITSHIFTLEFT": "shiftleft", "BITSHIFTRIGHT": "shiftright", "RANDOM": "rand"}

@@ -112,6 +112,23 @@ def feature_tags(text: Column, dialect: str) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(tag)) for tag, p in rules.FEATURES[rules.dialect_of(dialect)]]))
 
 
+def subtype(text: Column, parsed: Column, dialect: str) -> Column:
+    """Subtype of a statement: what its form says, else the first of the dialect's rules that its text fits."""
+    d = rules.dialect_of(dialect)
+    found = F.lit(None).cast("string")
+    for name, pattern in reversed(rules.SUBTYPES[d]):
+        found = F.when(text.rlike(pattern), F.lit(name)).otherwise(found)
+    return F.coalesce(F.when(parsed == "MINUS", "EXCEPT").otherwise(parsed), found)
+
+
+def transform_name(transform: Column, dialect: Column) -> Column:
+    """A class of transformation by the name that the dialect's reports have for it."""
+    for d, names in rules.TRANSFORM_NAMES.items():
+        known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        transform = F.when(dialect == d, F.coalesce(F.try_element_at(known, transform), transform)).otherwise(transform)
+    return transform
+
+
 def is_dynamic(text: Column, dialect: str) -> Column:
     """Whether a text runs SQL that it builds itself."""
     pattern = {

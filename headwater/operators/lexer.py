@@ -56,6 +56,7 @@ def without_comments(sql: str) -> str:
 
 #: Words that start a statement where a line does.
 _STARTS = {"SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "WITH", "CREATE", "ALTER", "DROP", "TRUNCATE", "REPLACE", "EXEC", "EXECUTE", "CALL", "DECLARE"}
+_CREATES = {"CREATE", "ALTER", "REPLACE"}
 _ROUTINES = {"PROCEDURE", "PROC", "FUNCTION", "TRIGGER", "PACKAGE", "MACRO", "TASK"}
 #: Words after which a statement word goes on with the same statement.
 _GOES_ON = {"AS", "FOR", "ON", "THEN", "UNION", "ALL", "EXCEPT", "INTERSECT", "MINUS", "OR", "AFTER", "BEFORE", "OF", "EXPLAIN", "RETURN", "USING", "IS", "BEGIN", "ELSE"}
@@ -65,6 +66,8 @@ def statements(sql: str, dialect: str = "tsql") -> list[str]:
     """Statements of a text, without comments at their ends and without the semicolon."""
     out: list[str] = []
     ts = tokens(sql)
+    # Only T-SQL does without semicolons; elsewhere a line starts a statement if it creates something.
+    starts = _STARTS if dialect == "tsql" else _CREATES
     first, depth, blocks, routine, started_with = 0, 0, 0, False, ""
     begins = _begins_ahead(ts)
     # package: its own block is open; bodies: nested routines and the routine itself whose BEGIN is still to come; header: of a routine;
@@ -119,7 +122,7 @@ def statements(sql: str, dialect: str = "tsql") -> list[str]:
         elif w == "END" and (i + 1 >= len(ts) or ts[i + 1].upper not in ("IF", "LOOP", "WHILE", "FOR", "REPEAT")):
             blocks -= 1
         new_line = i > first and "\n" in sql[ts[i - 1].end : t.start]
-        if new_line and w in _STARTS and not routine and blocks <= 0 and ts[i - 1].upper not in _GOES_ON and ts[i - 1].text not in ("(", ",") and not _continues(ts, first, i, w):
+        if new_line and w in starts and not routine and blocks <= 0 and ts[i - 1].upper not in _GOES_ON and ts[i - 1].text not in ("(", ",") and not _continues(ts, first, i, w):
             close(i)
             first, routine, started_with = i, False, w
     close(len(ts))
@@ -152,11 +155,12 @@ _IN_BODY = _STARTS - {"DECLARE", "REPLACE"} | {"SEL", "INS", "UPD", "DEL", "PERF
 _CONTROL = {"BEGIN", "IF", "ELSIF", "ELSEIF", "LOOP", "WHILE", "EXCEPTION", "DECLARE", "RETURN", "PRINT", "RAISE", "END"}
 
 
-def routine_statements(ts: list[Token]) -> list[tuple[int, int]]:
-    """Spans of tokens of the statements in a routine's text, in blocks or brackets or not; statements of control are left out."""
+def routine_statements(ts: list[Token], header: bool = True) -> list[tuple[int, int]]:
+    """Spans of tokens of the statements in a routine's text, in blocks or brackets or not; statements of control are left out, and
+    so is all up to the body if there is a header."""
     spans: list[tuple[int, int]] = []
     # lead: the first word of the statement, behind its WITH clause if it has one.
-    first, lead, inner, depth, cases, head = -1, -1, 0, 0, 0, True
+    first, lead, inner, depth, cases, head = -1, -1, 0, 0, 0, header
 
     def close(upto: int) -> None:
         nonlocal first, cases

@@ -68,11 +68,14 @@ def analyze(corpus: DataFrame, dialect: str = "tsql", source_kind: str = "SCRIPT
     """
     d = rules.dialect_of(dialect)
     text = cleaning.strip_noise(cleaning.strip_comments_exactly(F.col("sql_text")), d)
-    batches = cleaning.split_batches(corpus.select("file_path", text.alias("sql_text")))
+    scripts = corpus.select("file_path", text.alias("sql_text"))
+    # Only T-SQL has lines that end a batch.
+    batches = cleaning.split_batches(scripts) if d == "tsql" else scripts.filter("sql_text is not null").select("file_path", F.lit(0).alias("ord"), F.col("sql_text").alias("content"))
     rows = cleaning.split_statements(batches, "content", d)
     body = F.col("statement")
     rows = rows.select("file_path", "ord", "stmt_ord", F.lit(d).alias("dialect"), F.lit(source_kind).alias("source_kind"), cleaning.object_kind(body, d).alias("object_kind"), cleaning.object_name(body, d).alias("object_name"), "statement", cleaning.feature_tags(body, d).alias("features"), cleaning.is_dynamic(body, d).alias("is_dynamic"), parsed(body).alias("p"))
-    return rows.select("*", "p.*").drop("p").withColumn("stmt_id", F.xxhash64("file_path", "ord", "stmt_ord"))
+    rows = rows.select("*", "p.*").drop("p").withColumn("stmt_id", F.xxhash64("file_path", "ord", "stmt_ord"))
+    return rows.withColumn("statement_subtype", cleaning.subtype(F.col("statement"), F.col("statement_subtype"), d))
 
 
 def _with_bodies(statements: DataFrame) -> DataFrame:
@@ -109,6 +112,22 @@ def cte_table(statements: DataFrame) -> DataFrame:
     return _with_bodies(statements).select("stmt_id", "file_path", F.explode("ctes").alias("c")).select("stmt_id", "file_path", "c.*")
 
 
+def temp_registry(statements: DataFrame) -> DataFrame:
+    """Temporary tables of each script: where each is first made, and the number of later statements of the script that read it.
+
+    Result: file_path, table_name, defined_by (stmt_id), n_uses.
+    """
+    at = F.struct("ord", "stmt_ord")
+    rows = statements.select("stmt_id", "file_path", at.alias("at"), F.explode(F.concat(F.array(F.struct("target_table", "source_tables")), F.transform("body", lambda b: F.struct(b["target_table"].alias("target_table"), b["source_tables"].alias("source_tables"))))).alias("s"))
+    declared = statements.select("stmt_id", "file_path", at.alias("at"), F.explode(F.flatten(F.array(*[cleaning.temp_names(F.col("statement"), d) for d in rules.DIALECTS]))).alias("table_name"))
+    named = rows.select("stmt_id", "file_path", "at", F.lower("s.target_table").alias("table_name")).filter(F.col("table_name").rlike(r"^#"))
+    made = declared.join(rows.select("file_path", F.lower("s.target_table").alias("table_name")).distinct(), ["file_path", "table_name"], "left_semi").unionByName(named)
+    first = made.groupBy("file_path", "table_name").agg(F.min(F.struct("at", "stmt_id")).alias("m")).select("file_path", "table_name", "m.at", F.col("m.stmt_id").alias("defined_by"))
+    uses = rows.select("stmt_id", "file_path", F.col("at").alias("used_at"), F.explode("s.source_tables").alias("t")).select("stmt_id", "file_path", "used_at", F.lower("t").alias("table_name")).distinct()
+    n = first.join(uses, ["file_path", "table_name"], "left").groupBy("file_path", "table_name", "defined_by").agg(F.count(F.when(F.col("used_at") >= F.col("at"), 1)).alias("n_uses"))
+    return n.select("file_path", "table_name", "defined_by", "n_uses")
+
+
 def errors(statements: DataFrame) -> DataFrame:
     return statements.filter("parse_error is not null").select("stmt_id", "file_path", "statement", "parse_error")
 
@@ -142,13 +161,17 @@ def merged_columns(defs: DataFrame, edges: DataFrame) -> DataFrame:
 def table_registry(statements: DataFrame) -> DataFrame:
     """Tables over all statements: scripts, kinds of definition, number of dependencies and of dependents, temporary by name."""
     edges = table_edges(statements).filter("not is_self_edge")
+    temp = F.lit(False)
+    for d in rules.DIALECTS:
+        temp = temp | (F.array_contains("_dialects", d) & cleaning.is_temp_name(F.element_at(F.split("table_name", r"\."), -1), d))
+    dialects = statements.select("file_path", "dialect").distinct()
     target = _with_bodies(statements).filter("target_table is not null").select(F.lower("target_table").alias("table_name"), "file_path", "statement_type", F.lit(1).alias("is_target"))
     source = edges.select(F.lower("src_table").alias("table_name"), "file_path", F.lit("REFERENCE").alias("statement_type"), F.lit(0).alias("is_target"))
-    t = target.unionByName(source).groupBy("table_name").agg(F.array_sort(F.collect_set("file_path")).alias("scripts"), F.array_sort(F.collect_set("statement_type")).alias("definition_types"))
+    t = target.unionByName(source).join(dialects, "file_path").groupBy("table_name").agg(F.array_sort(F.collect_set("file_path")).alias("scripts"), F.array_sort(F.collect_set("statement_type")).alias("definition_types"), F.collect_set("dialect").alias("_dialects"))
     out = edges.groupBy(F.lower("dst_table").alias("table_name")).agg(F.countDistinct(F.lower("src_table")).alias("depends_on_count"))
     into = edges.groupBy(F.lower("src_table").alias("table_name")).agg(F.countDistinct(F.lower("dst_table")).alias("referenced_by_count"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return t.join(out, "table_name", "left").join(into, "table_name", "left").select("table_name", "scripts", "definition_types", zero("depends_on_count"), zero("referenced_by_count"), cleaning.is_temp_name(F.col("table_name"), "snowflake").alias("is_temp"))
+    return t.join(out, "table_name", "left").join(into, "table_name", "left").select("table_name", "scripts", "definition_types", zero("depends_on_count"), zero("referenced_by_count"), temp.alias("is_temp"))
 
 
 def _total(facts: str) -> Column:

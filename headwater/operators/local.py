@@ -87,3 +87,32 @@ def levels(pairs: list[tuple[str, str]]) -> list[tuple[str, int]]:
                     nxt.append(b)
         now, level = nxt, level + 1
     return out
+
+
+def chains(pairs: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
+    """For each component that holds a circle, a shortest circle through its least node: (least node, "a > b > a", number of links)."""
+    member = dict(circles(pairs))
+    ahead: dict[str, list[str]] = {}
+    for a, b in sorted(set(pairs)):
+        if member.get(a) is not None and member.get(a) == member.get(b):
+            ahead.setdefault(a, []).append(b)
+    out = []
+    for first in sorted(set(member.values())):
+        back, now = {first: ""}, [first]
+        last = None
+        while now and last is None:
+            nxt = []
+            for n in now:
+                for b in ahead[n]:
+                    if b == first:
+                        last = n if last is None else last
+                    elif b not in back:
+                        back[b] = n
+                        nxt.append(b)
+            now = nxt
+        way = [first]
+        while last:
+            way.append(last)
+            last = back[last]
+        out.append((first, " > ".join(reversed(way)), len(way) - 1))
+    return out

@@ -28,9 +28,24 @@ _NOT_COLUMN = _NOT_ALIAS | {
     "TRUE", "FALSE", "INTERVAL", "ESCAPE", "COLLATE", "AT", "TIME", "ZONE", "NULLS", "FIRST", "LAST", "TOP", "PERCENT", "FILTER", "WITHIN", "KEEP", "IGNORE", "RESPECT", "CURRENT_DATE", "CURRENT_TIMESTAMP", "CURRENT_TIME", "SYSDATE",
     "SYSTIMESTAMP", "CURRENT_USER", "USER", "PRIOR", "LEVEL", "ROWNUM", "YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND", "DATE", "TIMESTAMP", "DEFAULT", "SEPARATOR", "FORMAT", "NAMED", "TITLE",
 }
+#: Functions in FROM that give the parts of a column.
+_UNNESTING = {"FLATTEN", "UNNEST", "EXPLODE", "OPENJSON", "JSON_TABLE", "STRING_SPLIT", "SPLIT_TO_TABLE", "STRTOK_SPLIT_TO_TABLE", "JSONB_ARRAY_ELEMENTS", "JSON_ARRAY_ELEMENTS", "JSONB_EACH", "JSON_EACH"}
 _DATE_PARTS = {"DATEADD", "DATEDIFF", "DATEPART", "DATENAME", "DATE_PART", "TIMESTAMPADD", "TIMESTAMPDIFF", "DATETRUNC"}
 
 
+#: Stands between a name and a path into it while a reference is taken apart.
+_PATH = "\x00"
+
+
+def _path(text: str) -> str:
+    return _PATH + text.lstrip(":")
+
+
+def _column(name: str) -> str:
+    """A column without the path into it."""
+    return name.partition(":")[0].lower()
+
+
 def unquote(name: str) -> str:
     return name.strip('[]"`')
 
@@ -96,6 +111,7 @@ class Source:
     table: str | None = None
     query: Query | None = None
     function: str | None = None
+    inputs: list[tuple[str | None, str]] = field(default_factory=list)  # columns a function is given
 
 
 @dataclass
@@ -319,7 +335,7 @@ class Parser:
                     alias, i = self.alias(k, end)
                     inner = name.upper() in ("TABLE", "LATERAL") and k - j > 2
                     fn = unquote(self.ts[j + 1].text) if inner and self.is_name(j + 1) else name
-                    q.sources.append(Source(alias, function=fn))
+                    q.sources.append(Source(alias, function=fn, inputs=self.expression(j + 1, k - 1, q).refs))
                     continue
                 if j < end and self.ts[j].text == "@" or j < end and self.ts[j].text.startswith("@") and self.ts[j].start == self.ts[j - 1].end:
                     j += 1  # database link
@@ -404,6 +420,9 @@ class Parser:
             if w == "OVER":
                 it.has_window = True
             name, j = self.name(i, end)
+            if j < end and self.ts[j].text == "=>":  # name of an argument
+                i = j + 1
+                continue
             if j < end and self.ts[j].text == "(" and t.kind == "word" and w not in ("IN", "AND", "OR", "NOT", "EXISTS", "OVER", "THEN", "ELSE", "WHEN", "ANY", "ALL", "BETWEEN", "LIKE", "FILTER", "GROUP", "CASE", "DISTINCT"):
                 fn = name.upper().split(".")[-1]
                 it.functions.append(fn)
@@ -424,10 +443,11 @@ class Parser:
             is_word_column = t.kind == "name" or "." in name or w not in _NOT_COLUMN
             if is_word_column and name and not name.startswith(("@", "#")):
                 if j < end and self.ts[j].text.startswith(":") and self.ts[j].text != "::" and self.ts[j].kind == "word" and self.ts[j].start == self.ts[j - 1].end:
-                    it.variants.append(self._ref(name))
-                    j += 1
-                    while j < end and self.ts[j].text in (".", "[") or j < end and self.ts[j - 1].text in (".", "["):
+                    start, j = j, j + 1
+                    while j < end and (self.ts[j].text in (".", "[", "]") or self.ts[j - 1].text in (".", "[")):
                         j += 1
+                    name += _path(self.text(start, j))
+                    it.variants.append(self._ref(name))
                 if name.startswith(":"):
                     name = name[1:]
                 ref = self._ref(name)
@@ -442,8 +462,10 @@ class Parser:
 
     @staticmethod
     def _ref(name: str) -> tuple[str | None, str]:
+        """Qualifier and column; a path into a variant stays with the column."""
+        name, _, path = name.partition(_PATH)
         head, _, last = name.rpartition(".")
-        return (head or None), last
+        return (head or None), last + (f":{path}" if path else "")
 
 
 # ---- resolution
@@ -499,7 +521,7 @@ def _scope(q: Query, qualifier: str | None, column: str) -> list[Source]:
                 if own == want or s.table and (s.table.lower() == want or s.table.lower().rsplit(".", 1)[-1] == want):
                     return [s]
         else:
-            having = [s for s in here.sources if column.lower() in [c.lower() for c in output_names(_inner(here, s), here, s)]]
+            having = [s for s in here.sources if _column(column) in [c.lower() for c in output_names(_inner(here, s), here, s)]]
             if len(having) == 1:
                 return having
             if len(here.sources) == 1:
@@ -546,6 +568,11 @@ def item_sources(it: Item, q: Query) -> list[tuple[str, str, str | None]]:
                 for b in _branches(s.query):
                     inner = _named(b, column)
                     out += item_sources(inner, b) if inner else ([] if column != "*" else [x for i2 in b.items for x in item_sources(i2, b)])
+            elif s.function is not None and s.function.upper() in _UNNESTING and s.inputs:
+                # What comes out of the function is part of what went in.
+                inside = Query(sources=[x for x in q.sources if x is not s], ctes=q.ctes, cte_columns=q.cte_columns, outer=q.outer)
+                path = column.partition(":")[2]
+                out += item_sources(Item(None, "", [(a, c + (f":{path}" if path else "")) for a, c in s.inputs], []), inside)
             elif s.function is not None:
                 out.append((f"FUNCTION:{s.function}", column, None))
             elif find_cte(q, s.table) is not None:
@@ -560,10 +587,10 @@ def item_sources(it: Item, q: Query) -> list[tuple[str, str, str | None]]:
 
 
 def _named(q: Query, column: str, listed: list[str] | None = None) -> Item | None:
-    names = [n.lower() for n in listed] if listed else []
-    if column.lower() in names and names.index(column.lower()) < len(q.items):
-        return q.items[names.index(column.lower())]
-    return next((i for i in q.items if (i.name or "").lower() == column.lower()), None) or next((i for i in q.items if i.is_star), None)
+    names, column = [n.lower() for n in listed] if listed else [], _column(column)
+    if column in names and names.index(column) < len(q.items):
+        return q.items[names.index(column)]
+    return next((i for i in q.items if (i.name or "").lower() == column), None) or next((i for i in q.items if i.is_star), None)
 
 
 def base_sources(it: Item, q: Query, seen: frozenset[int] = frozenset()) -> list[tuple[str, str]]:
@@ -680,8 +707,11 @@ def parse_statement(sql: str) -> Statement:
         _merge(p, i, end, outer, st)
     elif word in ("CREATE", "REPLACE", "ALTER", "DROP", "TRUNCATE", "CALL", "EXEC", "EXECUTE", "COPY"):
         _create(p, i, end, outer, st, word)
+    elif word in ("BEGIN", "DECLARE", "DO", "IF"):
+        st.kind, st.subtype = "COMMAND", "PLSQL_BLOCK" if word in ("BEGIN", "DECLARE") else f"{word}_BLOCK"
+        _body(p, st, False)
     at = p.find(0, end, {"RETURNING"})
-    if at < end:
+    if at < end and st.kind in ("INSERT", "UPDATE", "DELETE", "MERGE"):
         stop = p.find(at + 1, end, {"INTO", ";"})
         st.returning = [p.text(a, b) for a, b in p.commas(at + 1, stop) if a < b]
         if st.subtype is None:
@@ -697,12 +727,7 @@ def _plus_ctes(tables: list[str], outer: Query | None, q: Query) -> list[str]:
 def _insert(p: Parser, i: int, end: int, outer: Query | None, st: Statement) -> None:
     st.kind = "INSERT"
     if p.up(i + 1) == "ALL" or p.up(i + 1) == "FIRST":
-        st.subtype = "INSERT_ALL"
-        at = p.find(i, end, {"SELECT"})
-        q = p.query(at, end, outer)
-        j = p.find(i, at, {"INTO"})
-        st.target, _ = p.name(j + 1, at)
-        st.columns, st.sources = _columns(q), all_tables(q)
+        _insert_all(p, i, end, outer, st)
         return
     j = i + 1
     while p.up(j) in ("INTO", "OVERWRITE", "TABLE"):
@@ -733,6 +758,37 @@ def _insert(p: Parser, i: int, end: int, outer: Query | None, st: Statement) ->
         st.subtype = "UPSERT"
 
 
+def _insert_all(p: Parser, i: int, end: int, outer: Query | None, st: Statement) -> None:
+    """INSERT ALL and INSERT FIRST: the first target is the statement's own, the others are statements in its body."""
+    at = p.find(i, end, {"SELECT", "WITH"})
+    q = p.query(at, end, outer)
+    rows, tables = Query(outer=outer, sources=[Source(None, query=q)]), all_tables(q)
+    parts: list[Statement] = []
+    j = p.find(i, at, {"INTO"})
+    while j < at:
+        part = Statement("INSERT", "INSERT_ALL", sources=list(tables))
+        part.target, k = p.name(j + 1, at)
+        nxt = p.find(k, at, {"INTO"})
+        names: list[str] = []
+        if k < nxt and p.ts[k].text == "(":
+            m = p.match(k, nxt)
+            names = [unquote(p.ts[b - 1].text) for a, b in p.commas(k + 1, m - 1) if a < b]
+            k = m
+        v = p.find(k, nxt, {"VALUES"})
+        if v + 1 < nxt:
+            for n, (a, b) in enumerate(p.commas(v + 2, p.match(v + 1, nxt) - 1)):
+                it = p.expression(a, b, rows)
+                kind = it.transform()
+                part.columns.append(Column(names[n] if n < len(names) else f"column_{n + 1}", n, kind, it.text[:EXPRESSION], it.is_aggregate, kind not in ("direct", "literal"), n >= len(names), item_sources(it, rows), base_sources(it, rows)))
+        else:
+            part.columns = _columns(q, names)
+        parts.append(part)
+        j = nxt
+    if parts:
+        st.target, st.columns, st.body = parts[0].target, parts[0].columns, parts[1:]
+    st.subtype, st.sources = "INSERT_ALL", tables
+
+
 def _assignments(p: Parser, i: int, end: int, q: Query, st: Statement, kind: str | None, target_alias: set[str]) -> None:
     for a, b in p.commas(i, end):
         eq = p.find(a, b, {"="})
@@ -810,11 +866,25 @@ _WITH_BODY = ("PROCEDURE", "PROC", "FUNCTION", "TRIGGER", "PACKAGE", "MACRO", "T
 _DOLLAR = re.compile(r"\$\w*\$")
 
 
-def body_statements(sql: str) -> list[str]:
+def body_statements(sql: str, header: bool = True) -> list[str]:
     """The statements in a routine's text, in blocks, brackets or dollar quotes or not."""
     sql = _DOLLAR.sub(" ", sql)
     ts = tokens(sql)
-    return [sql[ts[a].start : ts[b - 1].end] for a, b in routine_statements(ts)]
+    return [sql[ts[a].start : ts[b - 1].end] for a, b in routine_statements(ts, header)]
+
+
+#: Words that run a statement given as a string, and how such a string starts.
+_RUNS = re.compile(r"(?i)\b(?:EXEC|EXECUTE|sp_executesql|SysExecSQL|PREPARE|sqlText|OPEN)\b")
+_STATEMENT = re.compile(r"(?is)\s*(?:SELECT|SEL|INSERT|UPDATE|DELETE|MERGE|WITH|CREATE|REPLACE|TRUNCATE|BEGIN|DECLARE)\b.")
+
+
+def dynamic_statements(sql: str) -> list[str]:
+    """Statements that stand as constant strings in a text that runs such strings; of one put together, the constant beginning."""
+    text = _DOLLAR.sub(" ", sql)
+    if not _RUNS.search(text):
+        return []
+    found = [t.text.lstrip("NnEe").strip("'").replace("''", "'") for t in tokens(text) if t.kind == "string"]
+    return [x for x in found if _STATEMENT.match(x)]
 
 
 def _is_variable(name: str, statement: str, routine: str) -> bool:
@@ -826,9 +896,9 @@ def _is_variable(name: str, statement: str, routine: str) -> bool:
     return bool(re.search(rf"(?i)\bINTO\s+{one}\s*,", statement) or re.search(declared, routine))
 
 
-def _body(p: Parser, st: Statement) -> None:
+def _body(p: Parser, st: Statement, header: bool = True) -> None:
     """The statements of a routine's body, each with its own target; their tables count as read by the routine too."""
-    for text in body_statements(p.sql):
+    for text in [*body_statements(p.sql, header), *dynamic_statements(p.sql)]:
         try:
             inner = parse_statement(text)
         except Exception as e:  # the other statements still count
@@ -836,9 +906,39 @@ def _body(p: Parser, st: Statement) -> None:
             continue
         if inner.subtype == "SELECT_INTO" and _is_variable(inner.target, text, p.sql):
             inner.target, inner.subtype = None, None
-        if inner.kind != "COMMAND" or inner.subtype == "TRUNCATE":
-            st.body.append(inner)
-            st.sources += [t for t in inner.sources if t not in st.sources]
+        own = [inner] if inner.kind != "COMMAND" or inner.subtype == "TRUNCATE" else []
+        for x in [*own, *inner.body]:
+            st.body.append(x)
+            st.sources += [t for t in x.sources if t not in st.sources]
+            x.body = []
+
+
+#: Names under which a trigger sees the rows of its table.
+_TRIGGER_ROWS = {"inserted", "deleted", "new", "old", ":new", ":old"}
+
+
+def _of_table(st: Statement, table: str) -> None:
+    """Puts the trigger's table where its rows are read under other names."""
+    real = lambda t: table if t.lower() in _TRIGGER_ROWS else t
+    st.sources = list(dict.fromkeys(map(real, st.sources)))
+    for c in st.columns:
+        c.sources = list(dict.fromkeys((real(t), x, cte) for t, x, cte in c.sources))
+        c.resolved = list(dict.fromkeys((real(t), x) for t, x in c.resolved))
+        if table not in st.sources and any(t == table for t, _, _ in c.sources):
+            st.sources.append(table)
+
+
+def _copy(p: Parser, i: int, end: int, st: Statement) -> None:
+    """COPY INTO a table from a stage, or the other way round."""
+    st.subtype = "COPY_INTO" if p.up(i + 1) == "INTO" else "COPY"
+    at = p.find(i, end, {"FROM"})
+    if at + 1 < end:
+        if p.ts[at + 1].text == "(":
+            q = p.query(at + 1, p.match(at + 1, end))
+            st.sources, st.columns = all_tables(q), _columns(q)
+        else:
+            name, _ = p.name(at + 1, end)
+            st.sources = [name] if name else []
 
 
 _CREATABLE = ("TABLE", "VIEW", "PROCEDURE", "PROC", "FUNCTION", "TRIGGER", "PACKAGE", "MACRO", "INDEX", "SCHEMA", "DATABASE", "SEQUENCE", "TASK", "STREAM", "PIPE", "STAGE", "TYPE", "SYNONYM")
@@ -849,6 +949,16 @@ def _create(p: Parser, i: int, end: int, outer: Query | None, st: Statement, wor
     if st.kind == "COMMAND":
         st.target, _ = p.name(i + 2 if p.up(i + 1) in ("TABLE", "INTO") else i + 1, end)
         st.subtype = word
+        if word in ("EXEC", "EXECUTE", "CALL"):
+            for text in dynamic_statements(p.sql):
+                inner = parse_statement(text)
+                st.body += [inner, *inner.body]
+                inner.body = []
+                st.sources += [t for t in inner.sources if t not in st.sources]
+            if st.target is not None and st.target.upper() in ("IMMEDIATE", "SP_EXECUTESQL", "DBC.SYSEXECSQL", "SYSEXECSQL"):
+                st.target, st.subtype = None, "DYNAMIC"
+        if word == "COPY":
+            _copy(p, i, end, st)
         return
     at = p.find(i + 1, min(end, i + 12), set(_CREATABLE))
     what = p.up(at)
@@ -862,6 +972,10 @@ def _create(p: Parser, i: int, end: int, outer: Query | None, st: Statement, wor
         st.subtype = "CREATE_GLOBAL_TEMP_TABLE"
     if what in _WITH_BODY:
         _body(p, st)
+        if what == "TRIGGER":
+            table, _ = p.name(p.find(j, end, {"ON"}) + 1, end)
+            for x in [st, *st.body] if table else []:
+                _of_table(x, table)
         return
     if what not in ("TABLE", "VIEW") or st.kind != "CREATE":
         return

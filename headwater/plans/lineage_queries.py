@@ -341,7 +341,7 @@ def routine_summary(spark: SparkSession, d: str) -> DataFrame:
 def routine_parameters(spark: SparkSession, d: str) -> DataFrame:
     """J4."""
     p = T(spark, d, "catalog_procedures").filter("definition is not null").select("procedure_id", "definition").distinct()
-    return p.select("procedure_id", F.explode(routines.parameters(F.col("definition"))).alias("p")).select("procedure_id", "p.ordinal", F.col("p.name").alias("name"), "p.data_type")
+    return p.select("procedure_id", F.explode(routines.signatures(F.col("definition"))).alias("p")).select("procedure_id", "p.ordinal", F.col("p.name").alias("name"), "p.data_type")
 
 
 def schema_object_split(spark: SparkSession, d: str) -> DataFrame:
