@@ -6,7 +6,7 @@ joining of exploded facts; lists within a row are those of one routine or one ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.functions import rules
@@ -20,7 +20,11 @@ COMPLEX = 15
 
 def _items(facts: DataFrame, *lists: str) -> DataFrame:
     """name, kind, list, item."""
-    each = F.explode(F.flatten(F.array(*[F.transform(c, lambda x, c=c: F.struct(F.lit(c).alias("list"), x.alias("item"))) for c in lists])))
+
+    def labelled(c: str) -> Column:
+        return F.transform(c, lambda x: F.struct(F.lit(c).alias("list"), x.alias("item")))
+
+    each = F.explode(F.flatten(F.array(*map(labelled, lists))))
     return facts.select(F.lower("name").alias("name"), "kind", each.alias("x")).select("name", "kind", "x.*")
 
 
