@@ -13,13 +13,12 @@ from headwater.operators import cleaning
 from headwater.operators.parser import Statement, parse_statement
 
 _SOURCE = "struct<src_table: string, src_column: string, cte_reference: string>"
-_FACTS = (
-    "statement_type: string, statement_subtype: string, target_table: string, source_tables: array<string>, "
-    f"columns: array<struct<name: string, ordinal: int, transform: string, expression: string, is_aggregate: boolean, is_calculated: boolean, is_placeholder: boolean, sources: array<{_SOURCE}>, resolved: array<{_SOURCE}>>>, "
-    "ctes: array<struct<name: string, columns: array<string>, source_tables: array<string>, snippet: string>>, returning: array<string>"
-)
-#: body: the statements of a routine.
-PARSED = f"struct<{_FACTS}, body: array<struct<{_FACTS}>>, parse_error: string>"
+#: Types of the lists of columns and CTEs of a statement, and of the statements of a routine.
+COLUMNS = f"array<struct<name: string, ordinal: int, transform: string, expression: string, is_aggregate: boolean, is_calculated: boolean, is_placeholder: boolean, sources: array<{_SOURCE}>, resolved: array<{_SOURCE}>>>"
+CTES = "array<struct<name: string, columns: array<string>, source_tables: array<string>, snippet: string>>"
+_FACTS = f"statement_type: string, statement_subtype: string, target_table: string, source_tables: array<string>, columns: {COLUMNS}, ctes: {CTES}, returning: array<string>"
+BODY = f"array<struct<{_FACTS}>>"
+PARSED = f"struct<{_FACTS}, body: {BODY}, parse_error: string>"
 
 
 def _as_dict(sql: str | None) -> dict | None:

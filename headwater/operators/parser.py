@@ -28,6 +28,8 @@ _NOT_COLUMN = _NOT_ALIAS | {
     "TRUE", "FALSE", "INTERVAL", "ESCAPE", "COLLATE", "AT", "TIME", "ZONE", "NULLS", "FIRST", "LAST", "TOP", "PERCENT", "FILTER", "WITHIN", "KEEP", "IGNORE", "RESPECT", "CURRENT_DATE", "CURRENT_TIMESTAMP", "CURRENT_TIME", "SYSDATE",
     "SYSTIMESTAMP", "CURRENT_USER", "USER", "PRIOR", "LEVEL", "ROWNUM", "YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND", "DATE", "TIMESTAMP", "DEFAULT", "SEPARATOR", "FORMAT", "NAMED", "TITLE",
 }
+#: Of these, words that are also in use as names of columns.
+_SOFT = {"YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND", "DATE", "TIMESTAMP", "FORMAT", "TITLE", "LEVEL", "FIRST", "LAST", "TIME", "ZONE", "ROW", "RANGE", "FILTER"}
 #: Functions in FROM that give the parts of a column.
 _UNNESTING = {"FLATTEN", "UNNEST", "EXPLODE", "OPENJSON", "JSON_TABLE", "STRING_SPLIT", "SPLIT_TO_TABLE", "STRTOK_SPLIT_TO_TABLE", "JSONB_ARRAY_ELEMENTS", "JSON_ARRAY_ELEMENTS", "JSONB_EACH", "JSON_EACH"}
 _DATE_PARTS = {"DATEADD", "DATEDIFF", "DATEPART", "DATENAME", "DATE_PART", "TIMESTAMPADD", "TIMESTAMPDIFF", "DATETRUNC"}
@@ -61,6 +63,8 @@ class Item:
     has_cast: bool = False
     has_concat: bool = False
     has_window: bool = False
+    has_json: bool = False
+    has_array: bool = False
     has_literal_only: bool = False
     is_star: bool = False
     star_of: str | None = None
@@ -69,7 +73,7 @@ class Item:
 
     @property
     def is_direct(self) -> bool:
-        return len(self.refs) == 1 and not (self.functions or self.has_case or self.has_arithmetic or self.has_cast or self.has_concat or self.subqueries or self.variants or self.has_window)
+        return len(self.refs) == 1 and not (self.functions or self.has_case or self.has_arithmetic or self.has_cast or self.has_concat or self.subqueries or self.variants or self.has_window or self.has_json or self.has_array)
 
     @property
     def is_aggregate(self) -> bool:
@@ -90,6 +94,10 @@ class Item:
             return "case"
         if self.variants and not f:
             return "variant_access"
+        if self.has_json or f and f[0].startswith(("JSONB_", "JSON_")) and f[0] not in FAMILY_OF:
+            return "jsonb_operation"
+        if self.has_array or f and f[0] in ("UNNEST", "ARRAY_APPEND", "ARRAY_LENGTH", "ARRAY_REMOVE", "ARRAY_CAT", "ARRAY_TO_STRING", "STRING_TO_ARRAY"):
+            return "array_operation"
         if f and f[0] in ("COALESCE", "NVL", "IFNULL", "ISNULL"):
             return "coalesce"
         if self.has_arithmetic:
@@ -399,6 +407,8 @@ class Parser:
                     it.has_concat = it.has_concat or t.text == "+" and self._beside_string(i)
                 elif t.text == "||":
                     it.has_concat = True
+                elif t.text in ("->", "->>"):
+                    it.has_json = True
                 elif t.text == "::":
                     it.has_cast = True
                     _, i = self.name(i + 1, end)
@@ -419,6 +429,10 @@ class Parser:
                 it.has_case = True
             if w == "OVER":
                 it.has_window = True
+            if w == "ARRAY" and i + 1 < end and self.ts[i + 1].text.startswith("["):
+                it.has_array = True
+                i += 1
+                continue
             name, j = self.name(i, end)
             if j < end and self.ts[j].text == "=>":  # name of an argument
                 i = j + 1
@@ -440,7 +454,7 @@ class Parser:
                 elif fn == "EXTRACT" and self.up(i + 1) == "FROM":
                     i += 2
                 continue
-            is_word_column = t.kind == "name" or "." in name or w not in _NOT_COLUMN
+            is_word_column = t.kind == "name" or "." in name or w not in _NOT_COLUMN or w in _SOFT and self._stands_alone(i)
             if is_word_column and name and not name.startswith(("@", "#")):
                 if j < end and self.ts[j].text.startswith(":") and self.ts[j].text != "::" and self.ts[j].kind == "word" and self.ts[j].start == self.ts[j - 1].end:
                     start, j = j, j + 1
@@ -457,6 +471,11 @@ class Parser:
         it.has_literal_only = not (it.refs or it.functions or it.subqueries or it.is_star) and n > 0
         return it
 
+    def _stands_alone(self, i: int) -> bool:
+        """Whether a word that may be a unit or type is a name here: not beside a literal, as in DATE '2024-01-01' or INTERVAL '1' DAY."""
+        before, behind = self.ts[i - 1] if i else None, self.ts[i + 1] if i + 1 < len(self.ts) else None
+        return not (before and (before.kind in ("string", "number") or before.upper in ("INTERVAL", "TO")) or behind and (behind.kind == "string" or behind.upper == "TO"))
+
     def _beside_string(self, i: int) -> bool:
         return self.ts[i - 1].kind == "string" or i + 1 < len(self.ts) and self.ts[i + 1].kind == "string"
 
@@ -874,17 +893,42 @@ def body_statements(sql: str, header: bool = True) -> list[str]:
 
 
 #: Words that run a statement given as a string, and how such a string starts.
-_RUNS = re.compile(r"(?i)\b(?:EXEC|EXECUTE|sp_executesql|SysExecSQL|PREPARE|sqlText|OPEN)\b")
+_RUNS = {"EXEC", "EXECUTE", "IMMEDIATE", "SP_EXECUTESQL", "SYSEXECSQL", "PREPARE"}
 _STATEMENT = re.compile(r"(?is)\s*(?:SELECT|SEL|INSERT|UPDATE|DELETE|MERGE|WITH|CREATE|REPLACE|TRUNCATE|BEGIN|DECLARE)\b.")
+#: Statements as strings within routines in JavaScript and Python.
+_EMBEDDED = re.compile(r"(?s)(?:\bsqlText\s*:|\.sql\(|\.execute\()\s*(\"{3}|'{3}|[\"'`])(.+?)\1")
+
+
+def dynamic_strings(ts: list[Token]) -> list[int]:
+    """Places of strings that are run as statements: given to EXEC, IMMEDIATE and the like, or to a variable where there are such words."""
+    if not any(t.kind == "word" and t.upper in _RUNS for t in ts):
+        return []
+    found = []
+    for i, t in enumerate(ts):
+        if t.kind != "string" or not _STATEMENT.match(constant(t.text)):
+            continue
+        k = i - 1
+        while k > 0 and ts[k].text == "(":
+            k -= 1
+        before = ts[k].upper if k >= 0 else ""
+        name, set_at = (ts[k - 1].text, ts[k - 2].upper if k > 1 else "") if k > 0 else ("", "")
+        is_variable = before == ":=" or before == "=" and (name.startswith("@") or set_at == "SET" and (k < 3 or ts[k - 3].text == ";" or ts[k - 3].upper in ("BEGIN", "THEN", "ELSE", "DO")))
+        typed = before == "=" and any(x.kind == "word" and x.text.startswith("@") for x in ts[max(0, k - 6) : k]) and any(x.upper == "DECLARE" for x in ts[max(0, k - 8) : k])
+        if before in _RUNS or is_variable or typed:
+            found.append(i)
+    return found
+
+
+def constant(text: str) -> str:
+    """What a string literal holds."""
+    return text.lstrip("NnEe").strip("'").replace("''", "'")
 
 
 def dynamic_statements(sql: str) -> list[str]:
     """Statements that stand as constant strings in a text that runs such strings; of one put together, the constant beginning."""
     text = _DOLLAR.sub(" ", sql)
-    if not _RUNS.search(text):
-        return []
-    found = [t.text.lstrip("NnEe").strip("'").replace("''", "'") for t in tokens(text) if t.kind == "string"]
-    return [x for x in found if _STATEMENT.match(x)]
+    ts = tokens(text)
+    return [constant(ts[i].text) for i in dynamic_strings(ts)] + [m.group(2) for m in _EMBEDDED.finditer(text) if _STATEMENT.match(m.group(2))]
 
 
 def _is_variable(name: str, statement: str, routine: str) -> bool:
@@ -907,7 +951,8 @@ def _body(p: Parser, st: Statement, header: bool = True) -> None:
         if inner.subtype == "SELECT_INTO" and _is_variable(inner.target, text, p.sql):
             inner.target, inner.subtype = None, None
         own = [inner] if inner.kind != "COMMAND" or inner.subtype == "TRUNCATE" else []
-        for x in [*own, *inner.body]:
+        nested = [] if inner.kind == "COMMAND" and inner.subtype in ("EXEC", "EXECUTE", "CALL", "DYNAMIC") else inner.body  # those come by themselves
+        for x in [*own, *nested]:
             st.body.append(x)
             st.sources += [t for t in x.sources if t not in st.sources]
             x.body = []
@@ -961,7 +1006,7 @@ def _create(p: Parser, i: int, end: int, outer: Query | None, st: Statement, wor
             _copy(p, i, end, st)
         return
     at = p.find(i + 1, min(end, i + 12), set(_CREATABLE))
-    what = p.up(at)
+    what = "PROCEDURE" if p.up(at) == "PROC" else p.up(at)
     before = {p.up(k) for k in range(i, at)}
     j = at + 1
     while p.up(j) in ("IF", "NOT", "EXISTS", "BODY"):
@@ -974,8 +1019,9 @@ def _create(p: Parser, i: int, end: int, outer: Query | None, st: Statement, wor
         _body(p, st)
         if what == "TRIGGER":
             table, _ = p.name(p.find(j, end, {"ON"}) + 1, end)
-            for x in [st, *st.body] if table else []:
+            for x in [*st.body, st] if table else []:
                 _of_table(x, table)
+                st.sources += [t for t in x.sources if t not in st.sources]
         return
     if what not in ("TABLE", "VIEW") or st.kind != "CREATE":
         return

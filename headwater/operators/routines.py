@@ -17,7 +17,6 @@ SYSTEM_CALLS = re.compile(r"(?i)^(?:sp_|xp_|fn_|sys\.|dbms_|utl_)")
 
 #: Functions with a FROM of their own.
 _FROM_CALLS = {"EXTRACT", "TRIM", "SUBSTRING", "OVERLAY"}
-_STATEMENT = re.compile(r"(?i)\s*(?:SELECT|INSERT|UPDATE|DELETE|MERGE|WITH|CREATE|REPLACE|BEGIN|DECLARE)\b")
 #: Words that end the condition of a join.
 _BEHIND_ON = (parser._CLAUSES | parser._JOINS | parser._SET_OPS | {"SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "WITH", "CREATE", "ALTER", "DROP", "TRUNCATE", "EXEC", "EXECUTE", "CALL", "PERFORM", "DECLARE", "IF", "BEGIN", "END", "THEN", "ELSE", "LOOP", "WHILE", "RETURN", "PRINT"}) - {"ON"}
 _NO_TABLES = {"select", "values", "set", "where", "table", "only", "lateral", "unnest", "dual", "as", "on", "of", "or"}
@@ -37,14 +36,15 @@ class _Tables:
         self.aliases: list[tuple[int, str, str]] = []
         self.taken: set[int] = set()
         own_from: list[bool] = []
+        dynamic = set(parser.dynamic_strings(p.ts))
         for i, t in enumerate(p.ts):
             before = p.up(i - 1)
             if t.text == "(":
                 own_from.append(before in _FROM_CALLS)
             elif t.text == ")" and own_from:
                 own_from.pop()
-            elif t.kind == "string" and _STATEMENT.match(t.text.lstrip("NnEe").strip("'")):  # a dynamic statement
-                self.reads += _Tables(t.text.lstrip("NnEe").strip("'").replace("''", "'")).reads
+            elif i in dynamic:
+                self.reads += _Tables(parser.constant(t.text)).reads
             if t.kind != "word" or before == ".":
                 continue
             w = t.upper
@@ -246,9 +246,8 @@ def scan(sql: str) -> dict:
         outputs = [{"name": c.name, "data_type": None} for b in st.body if b.kind == "SELECT" and b.target is None for c in b.columns]
     ctes = {n.lower() for b in st.body for n, *_ in b.ctes}
     reads = set(tables.reads) - ctes
-    if own["kind"] == "TRIGGER" and reads & parser._TRIGGER_ROWS:
-        on, _ = tables.p.name(tables.p.find(0, len(tables.p.ts), {"ON"}) + 1, len(tables.p.ts))
-        reads = reads - parser._TRIGGER_ROWS | ({on.lower()} if on else set())
+    if own["kind"] == "TRIGGER":  # its table's rows have other names there
+        reads = reads - parser._TRIGGER_ROWS | {t.lower() for t in st.sources}
     kinds = [c.transform for b in st.body for c in b.columns]
     ws = tables.p
     ends = [k for k, t in enumerate(ws.ts) if t.text == ";" and t.kind == "op"]
@@ -258,7 +257,7 @@ def scan(sql: str) -> dict:
         "output_columns": outputs,
         "reads": sorted(reads), "writes": low(b.target for b in targets), "creates": made, "temps": _temps(text), "calls": _calls(ws), "column_refs": tables.column_refs(),
         "columns_read": low([*read, *updated]), "columns_written": low([*written, *updated]), "columns_updated": updated,
-        "n_statements": sum(len(ws.text(a + 1, b)) > 5 for a, b in spans), "n_joins": sum(t.upper == "JOIN" and t.kind == "word" for t in ws.ts), "n_subqueries": sum(t.text == "(" and ws.up(k + 1) == "SELECT" for k, t in enumerate(ws.ts)),
+        "n_statements": sum(len(ws.text(a + 1, b)) > 5 for a, b in spans), "n_joins": sum(t.upper == "JOIN" and t.kind == "word" for t in ws.ts), "n_subqueries": sum(t.text == "(" and ws.up(k + 1) == "SELECT" and ws.up(k - 1) not in ("AS", "RETURN") for k, t in enumerate(ws.ts)),
         "n_ctes": len(ctes), "n_aggregates": kinds.count("aggregate"), "n_windows": kinds.count("window_function"), "n_calculations": sum(k not in ("direct", "literal", "definition", "aggregate", "window_function") for k in kinds),
         "error": "; ".join(st.errors)[:200] or None,
     }

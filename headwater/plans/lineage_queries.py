@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from headwater.functions import rules
 from headwater.functions.names import clean_name, object_of, schema_of
-from headwater.operators import cleaning, graphs, lineage, routines
+from headwater.operators import cleaning, graphs, lineage, reports, routines
 from headwater.scratch import Scratch
+from headwater.sources import corpus
 from headwater.sources.tables import table
 
 T = table
@@ -133,19 +134,29 @@ def _columns(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "column_lineage").dropDuplicates(["lineage_id"])
 
 
+def _statements(spark: SparkSession, d: str) -> DataFrame:
+    """statement_lineage as the operators have it: each statement once, names clean, without columns and CTEs."""
+    none = lambda kind: F.from_json(F.lit("[]"), kind)
+    sources = F.array_distinct(F.array_compact(F.transform(F.coalesce("source_tables", F.array()), clean_name)))
+    s = T(spark, d, "statement_lineage").dropDuplicates(["statement_id"])
+    return s.select(
+        F.col("statement_id").alias("stmt_id"), "file_path", F.lower("dialect").alias("dialect"), "statement_type", clean_name(F.col("target_table")).alias("target_table"), sources.alias("source_tables"), "is_dynamic", "parse_error",
+        none(lineage.COLUMNS).alias("columns"), none(lineage.CTES).alias("ctes"), none(lineage.BODY).alias("body"),
+    )
+
+
 def register_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Scripts and kinds per target table."""
-    s = T(spark, d, "statement_lineage").filter("target_table is not null")
-    return s.groupBy(clean_name(F.col("target_table")).alias("table_name")).agg(F.countDistinct("file_path").alias("n_scripts"), F.array_join(F.array_sort(F.collect_set("statement_type")), ",").alias("definition_types"))
+    """Tables over all statements: scripts, kinds, numbers of tables they are made from and go into."""
+    r = lineage.table_registry(_statements(spark, d))
+    return r.select("table_name", F.size("scripts").alias("n_scripts"), F.array_join("definition_types", ",").alias("definition_types"), "depends_on_count", "referenced_by_count")
 
 
 def merge_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Columns merged without regard to case."""
-    c = _columns(spark, d).filter("target_table is not null and target_column is not null")
-    return c.groupBy(F.lower("target_table").alias("table_key"), F.lower("target_column").alias("column_key")).agg(
-        F.array_join(F.array_sort(F.collect_set("transform_type")), ",").alias("transforms"), F.bool_or("is_aggregate").alias("is_aggregate"), F.bool_or("is_calculated").alias("is_calculated"),
-        F.countDistinct("file_path").alias("n_scripts"), (F.count(F.lit(1)) - 1).alias("n_merged"),
-    )
+    """Columns merged without regard to case, with their sources and confidence."""
+    c = _columns(spark, d).filter("target_column is not null").select(F.col("target_table").alias("dst_table"), F.col("target_column").alias("dst_column"), "transform_type", "expression", "is_aggregate", "is_calculated", F.lit(False).alias("is_placeholder"), "file_path", "source_columns")
+    e = c.select("dst_table", "dst_column", F.explode("source_columns").alias("s")).select("dst_table", "dst_column", F.col("s.table_name").alias("src_table"), F.col("s.column_name").alias("src_column"), "s.cte_reference")
+    m = lineage.merged_columns(c, e)
+    return m.select("table_key", "column_key", F.array_join("transforms", ",").alias("transforms"), "is_aggregate", "is_calculated", "n_scripts", "n_definitions", F.size("sources").alias("n_sources"), F.size("expressions").alias("n_expressions"), "confidence")
 
 
 def confidence_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -169,26 +180,25 @@ def cte_expand(spark: SparkSession, d: str) -> DataFrame:
 
 def lineage_summary(spark: SparkSession, d: str) -> DataFrame:
     """E10, E11, E26."""
-    s = T(spark, d, "statement_lineage").dropDuplicates(["statement_id"])
-    return s.agg(F.count(F.lit(1)).alias("total_statements"), F.countDistinct("file_path").alias("total_files"), F.countDistinct(F.lower("target_table")).alias("total_targets"), F.count("parse_error").alias("parse_errors"), F.round(100.0 * F.sum(F.col("parse_error").isNull().cast("int")) / F.count(F.lit(1)), 1).alias("success_rate"))
+    return lineage.summary(_statements(spark, d))
+
+
+def _script_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What each script reads and writes, in the form of a routine's facts."""
+    s = T(spark, d, "statement_lineage")
+    none = F.array().cast("array<string>")
+    rows = s.select("file_path", F.explode_outer("source_tables").alias("t"), "target_table").select("file_path", clean_name(F.col("t")).alias("r"), clean_name(F.col("target_table")).alias("w"))
+    return rows.groupBy(F.col("file_path").alias("name")).agg(F.collect_set("r").alias("reads"), F.collect_set("w").alias("writes")).withColumn("creates", none).withColumn("kind", F.lit("SCRIPT"))
 
 
 def usage_report(spark: SparkSession, d: str) -> DataFrame:
-    """Reads and writes per table."""
-    s = T(spark, d, "statement_lineage").dropDuplicates(["statement_id"])
-    r = s.select("statement_id", F.explode("source_tables").alias("t")).select("statement_id", clean_name(F.col("t")).alias("table_name")).dropna().distinct().select("table_name", F.lit(1).alias("r"), F.lit(0).alias("w"))
-    w = s.select(clean_name(F.col("target_table")).alias("table_name"), F.lit(0).alias("r"), F.lit(1).alias("w")).dropna()
-    u = r.unionByName(w).groupBy("table_name").agg(F.sum("r").cast("bigint").alias("read_count"), F.sum("w").cast("bigint").alias("write_count"))
-    return u.withColumn("total_count", F.col("read_count") + F.col("write_count"))
+    """Scripts that read and that write each table."""
+    return reports.table_usage(_script_facts(spark, d)).select("table_name", "read_count", "write_count", "total_count", "n_routines")
 
 
 def access_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Scripts that read and that write each table."""
-    s = T(spark, d, "statement_lineage")
-    r = s.select("file_path", F.explode("source_tables").alias("t"), F.lit("R").alias("a"))
-    w = s.select("file_path", F.col("target_table").alias("t"), F.lit("W").alias("a"))
-    n = lambda a: F.countDistinct(F.when(F.col("a") == a, F.col("file_path")))
-    return r.unionByName(w).withColumn("table_name", clean_name(F.col("t"))).filter("table_name is not null").groupBy("table_name").agg(n("R").alias("n_read_by"), n("W").alias("n_written_by"))
+    return routines.access_matrix(_script_facts(spark, d)).select("table_name", F.size("read_by").alias("n_read_by"), F.size("written_by").alias("n_written_by"))
 
 
 def usage_inversion(spark: SparkSession, d: str) -> DataFrame:
@@ -197,24 +207,6 @@ def usage_inversion(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(F.lower("t").alias("temp_table")).agg(F.countDistinct("statement_id").alias("n_statements"), F.min("statement_id").alias("first_statement"))
 
 
-def name_disambiguation(spark: SparkSession, d: str) -> DataFrame:
-    """Table names in one schema and in several."""
-    t = T(spark, d, "table_disambiguation").groupBy(F.lower("table_name").alias("table_name")).agg(F.countDistinct("schema_name").alias("n_schemas"), F.min("qualified_name").alias("first_name"))
-    return t.withColumn("is_unique", F.col("n_schemas") == 1)
-
-
-def name_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """D-11, C44: references resolved by qualified name, else by a name that is unique."""
-    refs = T(spark, d, "statement_lineage").select(F.explode("source_tables").alias("t")).select(clean_name(F.col("t")).alias("ref")).dropna().distinct()
-    cat = T(spark, d, "table_disambiguation").select(F.lower("qualified_name").alias("q"), F.lower("table_name").alias("n")).distinct()
-    unique = cat.groupBy("n").agg(F.count(F.lit(1)).alias("k"), F.min("q").alias("by_name")).filter("k = 1").select("n", "by_name")
-    return refs.join(cat.select("q"), refs["ref"] == F.col("q"), "left").join(unique, object_of(F.col("ref")) == F.col("n"), "left").select("ref", F.coalesce("q", F.when(~F.col("ref").contains("."), F.col("by_name"))).alias("resolved"))
-
-
-def column_map(spark: SparkSession, d: str) -> DataFrame:
-    """Tables and types per column name."""
-    c = T(spark, d, "catalog_columns").select(clean_name(F.col("column_name")).alias("column_name"), F.concat_ws(".", "database_name", clean_name(F.col("table_schema")), clean_name(F.col("table_name"))).alias("t"), F.lower(F.regexp_replace("data_type", r"\s", "")).alias("ty"))
-    return c.groupBy("column_name").agg(F.countDistinct("t").alias("n_tables"), F.countDistinct("ty").alias("n_types"))
 
 
 def catalog_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -223,16 +215,12 @@ def catalog_summary(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("database_name").agg(F.countDistinct(clean_name(F.col("table_schema")), clean_name(F.col("table_name"))).alias("n_tables"), F.countDistinct("snapshot_no").alias("n_deliveries"), F.count(F.lit(1)).alias("n_lines"))
 
 
-def key_assembly(spark: SparkSession, d: str) -> DataFrame:
-    """D-10: foreign keys per table."""
-    k = T(spark, d, "foreign_keys").dropDuplicates(["fk_id"])
-    return k.groupBy("database_name", clean_name(F.col("schema_name")).alias("schema_name"), clean_name(F.col("table_name")).alias("table_name")).agg(F.count(F.lit(1)).alias("n_keys"), F.array_join(F.array_sort(F.collect_set("column_name")), ",").alias("columns"))
 
 
 def history_top(spark: SparkSession, d: str) -> DataFrame:
-    """A10: the thousand most executed queries; the limit is the feature."""
-    h = T(spark, d, "query_history").dropDuplicates(["query_text_id"]).filter(F.length("query_sql_text") >= 50)
-    return h.orderBy(F.desc("count_executions"), "query_text_id").limit(1000).select("query_text_id", "count_executions")
+    """A10: the thousand most executed queries of the last 30 days before a fixed date; the limit is the feature."""
+    h = T(spark, d, "query_history").dropDuplicates(["query_text_id"])
+    return corpus.history_top(h, "query_sql_text", "count_executions", "last_execution_time", "query_text_id", 365, now=F.lit("2025-01-01").cast("timestamp")).select("query_text_id", "count_executions")
 
 
 def system_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -295,11 +283,6 @@ def graph_export(spark: SparkSession, d: str) -> DataFrame:
     return r.unionByName(w).dropna().distinct()
 
 
-def virtual_source_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """nodes once each, those of the catalog before those only named."""
-    cat = T(spark, d, "table_disambiguation").select(F.lower("qualified_name").alias("node"), F.lit(1).alias("in_catalog"))
-    ref = T(spark, d, "statement_lineage").select(F.explode("source_tables").alias("t")).select(clean_name(F.col("t")).alias("node"), F.lit(0).alias("in_catalog")).dropna()
-    return cat.unionByName(ref.distinct()).groupBy("node").agg(F.max("in_catalog").alias("in_catalog"))
 
 
 def connected_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -409,8 +392,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         strip_comments, strip_noise, split_batches, normalize_whitespace, classify_documents, valid_statements, function_kinds, clean_stats, temp_names, feature_counts, regex_sources, parsed_sources, statement_types, transform_kinds, routine_statement_types, routine_table_edges,
-        statement_kinds, register_tables, merge_columns, confidence_scores, cte_expand, lineage_summary, usage_report, access_matrix, usage_inversion, name_disambiguation, name_resolution, column_map, catalog_summary, key_assembly,
-        history_top, system_filter, dependencies, exec_levels, table_levels, circular_tables, bfs_levels, adjacency, orphan_tables, graph_export, virtual_source_nodes, connected_nodes, focus_one_hop, component_sizes, fuzzy_search,
+        statement_kinds, register_tables, merge_columns, confidence_scores, cte_expand, lineage_summary, usage_report, access_matrix, usage_inversion, catalog_summary,
+        history_top, system_filter, dependencies, exec_levels, table_levels, circular_tables, bfs_levels, adjacency, orphan_tables, graph_export, connected_nodes, focus_one_hop, component_sizes, fuzzy_search,
         top_dependencies, routine_summary, routine_parameters, schema_object_split, medallion_silver, medallion_gold, medallion_kpi_cte, set_ops, window_rank, pivot_status, lateral_top1, function_families,
     )
 }

@@ -50,9 +50,6 @@ WHERE regexp_matches(string_split({clean("t")}, '.')[-1], '{rules.TEMP_NAME["tsq
     "parsed_sources": _SOURCES,
     "statement_types": "SELECT 'SELECT' AS statement_type, count(*) AS n_statements, CAST(0 AS BIGINT) AS n_errors FROM (SELECT DISTINCT query_text_id, query_sql_text FROM query_history)",
     "statement_kinds": f"SELECT dialect, statement_type, count(*) AS n, CAST(sum(CASE WHEN is_dynamic THEN 1 ELSE 0 END) AS BIGINT) AS n_dynamic, count(parse_error) AS n_errors FROM {_DEDUP_STATEMENTS} GROUP BY dialect, statement_type",
-    "register_tables": f"SELECT {clean('target_table')} AS table_name, count(DISTINCT file_path) AS n_scripts, array_to_string(list_sort(list_distinct(list(statement_type))), ',') AS definition_types FROM statement_lineage WHERE target_table IS NOT NULL GROUP BY 1",
-    "merge_columns": f"""SELECT lower(target_table) AS table_key, lower(target_column) AS column_key, array_to_string(list_sort(list_distinct(list(transform_type))), ',') AS transforms, bool_or(is_aggregate) AS is_aggregate, bool_or(is_calculated) AS is_calculated,
-count(DISTINCT file_path) AS n_scripts, count(*) - 1 AS n_merged FROM {_DEDUP_COLUMNS} WHERE target_table IS NOT NULL AND target_column IS NOT NULL GROUP BY 1, 2""",
     "confidence_scores": f"""WITH c AS (SELECT * FROM {_DEDUP_COLUMNS} WHERE target_table IS NOT NULL AND target_column IS NOT NULL),
 b AS (SELECT lower(target_table) AS table_key, lower(target_column) AS column_key, count(DISTINCT transform_type) AS nt, max(CASE WHEN transform_type = 'direct' THEN 1 ELSE 0 END) AS dr, bool_or(is_aggregate) AS ag, count(DISTINCT file_path) AS ns FROM c GROUP BY 1, 2),
 s AS (SELECT lower(target_table) AS table_key, lower(target_column) AS column_key, unnest(source_columns) AS s FROM c),
@@ -62,23 +59,8 @@ SELECT table_key, column_key, round((CASE WHEN dr = 1 THEN 1.0::DOUBLE WHEN nt >
     "cte_expand": f"""WITH c AS (SELECT lineage_id, statement_id, lower(s.cte_reference) AS cte FROM (SELECT lineage_id, statement_id, unnest(source_columns) AS s FROM column_lineage) WHERE s.cte_reference IS NOT NULL),
 t AS (SELECT DISTINCT statement_id, {clean("t")} AS table_name FROM (SELECT statement_id, unnest(source_tables) AS t FROM statement_lineage))
 SELECT DISTINCT lineage_id, cte, table_name FROM c JOIN t USING (statement_id) WHERE cte <> table_name""",
-    "lineage_summary": f"SELECT count(*) AS total_statements, count(DISTINCT file_path) AS total_files, count(DISTINCT lower(target_table)) AS total_targets, count(parse_error) AS parse_errors, round(100.0::DOUBLE * count(*) FILTER (parse_error IS NULL) / count(*), 1) AS success_rate FROM {_DEDUP_STATEMENTS}",
-    "usage_report": f"""WITH s AS (SELECT * FROM {_DEDUP_STATEMENTS}),
-r AS (SELECT DISTINCT statement_id, {clean("t")} AS table_name FROM (SELECT statement_id, unnest(source_tables) AS t FROM s)),
-u AS (SELECT table_name, 1 AS r, 0 AS w FROM r UNION ALL SELECT {clean("target_table")}, 0, 1 FROM s)
-SELECT table_name, CAST(sum(r) AS BIGINT) AS read_count, CAST(sum(w) AS BIGINT) AS write_count, CAST(sum(r) + sum(w) AS BIGINT) AS total_count FROM u WHERE table_name IS NOT NULL GROUP BY table_name""",
-    "access_matrix": f"""WITH u AS (SELECT file_path, unnest(source_tables) AS t, 'R' AS a FROM statement_lineage UNION ALL SELECT file_path, target_table, 'W' FROM statement_lineage)
-SELECT {clean("t")} AS table_name, count(DISTINCT CASE WHEN a = 'R' THEN file_path END) AS n_read_by, count(DISTINCT CASE WHEN a = 'W' THEN file_path END) AS n_written_by FROM u WHERE {clean("t")} IS NOT NULL GROUP BY 1""",
     "usage_inversion": "SELECT lower(t) AS temp_table, count(DISTINCT statement_id) AS n_statements, min(statement_id) AS first_statement FROM (SELECT statement_id, unnest(temp_tables) AS t FROM statement_lineage) GROUP BY 1",
-    "name_disambiguation": "SELECT lower(table_name) AS table_name, count(DISTINCT schema_name) AS n_schemas, min(qualified_name) AS first_name, count(DISTINCT schema_name) = 1 AS is_unique FROM table_disambiguation GROUP BY 1",
-    "name_resolution": f"""WITH r AS (SELECT DISTINCT {clean("t")} AS ref FROM (SELECT unnest(source_tables) AS t FROM statement_lineage)),
-c AS (SELECT DISTINCT lower(qualified_name) AS q, lower(table_name) AS n FROM table_disambiguation), u AS (SELECT n, min(q) AS q FROM c GROUP BY n HAVING count(*) = 1)
-SELECT ref, coalesce(c.q, CASE WHEN NOT contains(ref, '.') THEN u.q END) AS resolved FROM r LEFT JOIN c ON c.q = ref LEFT JOIN u ON u.n = string_split(ref, '.')[-1] WHERE ref IS NOT NULL""",
-    "column_map": f"""SELECT {clean("column_name")} AS column_name, count(DISTINCT concat_ws('.', database_name, {clean("table_schema")}, {clean("table_name")})) AS n_tables, count(DISTINCT lower(regexp_replace(data_type, '\\s', '', 'g'))) AS n_types FROM catalog_columns GROUP BY 1""",
     "catalog_summary": f"SELECT database_name, count(DISTINCT {clean('table_schema')} || '/' || {clean('table_name')}) AS n_tables, count(DISTINCT snapshot_no) AS n_deliveries, count(*) AS n_lines FROM catalog_columns GROUP BY 1",
-    "key_assembly": f"""SELECT database_name, {clean("schema_name")} AS schema_name, {clean("table_name")} AS table_name, count(*) AS n_keys, array_to_string(list_sort(list_distinct(list(column_name))), ',') AS columns
-FROM (SELECT * FROM foreign_keys QUALIFY row_number() OVER (PARTITION BY fk_id ORDER BY loaded_at) = 1) GROUP BY 1, 2, 3""",
-    "history_top": "SELECT query_text_id, count_executions FROM (SELECT * FROM query_history QUALIFY row_number() OVER (PARTITION BY query_text_id ORDER BY loaded_at) = 1) WHERE length(query_sql_text) >= 50 ORDER BY count_executions DESC NULLS LAST, query_text_id LIMIT 1000",
     "system_filter": f"""SELECT s AS table_schema, count(*) AS n_tables FROM (SELECT DISTINCT {clean("table_schema")} AS s, {clean("table_name")} AS n FROM catalog_tables)
 WHERE s NOT IN ({", ".join(f"'{x}'" for x in rules.SYSTEM_SCHEMAS)}) AND NOT regexp_matches(n, '{rules.SYSTEM_PREFIX}') GROUP BY s""",
     "dependencies": _LINKS.rstrip(",\n") + " SELECT src AS source_table, dst AS target_table FROM links",
@@ -93,7 +75,6 @@ SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node""",
     "orphan_tables": "SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
     "graph_export": f"""SELECT DISTINCT * FROM (SELECT {clean("target_table")} AS src, {clean("t")} AS dst, 'DEPENDS_ON' AS edge_type FROM (SELECT target_table, unnest(source_tables) AS t FROM statement_lineage)
 UNION ALL SELECT file_path, {clean("target_table")}, 'WRITES' FROM statement_lineage) WHERE src IS NOT NULL AND dst IS NOT NULL""",
-    "virtual_source_nodes": f"""SELECT node, max(c) AS in_catalog FROM (SELECT lower(qualified_name) AS node, 1 AS c FROM table_disambiguation UNION ALL SELECT {clean("t")}, 0 FROM (SELECT unnest(source_tables) AS t FROM statement_lineage)) WHERE node IS NOT NULL GROUP BY node""",
     "connected_nodes": "SELECT n_nationkey AS node FROM nation WHERE n_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey <> n_regionkey UNION SELECT n_regionkey FROM nation WHERE n_nationkey <> n_regionkey UNION SELECT n_nationkey FROM nation)",
     "focus_one_hop": _LINKS + "f AS (SELECT min(node) AS n FROM nodes) SELECT src, dst FROM links, f WHERE src = n OR dst = n",
     "component_sizes": _LINKS
@@ -118,3 +99,57 @@ SELECT k, 'union' AS op FROM (SELECT k FROM s UNION SELECT k FROM c) UNION ALL S
 SELECT o_orderkey, l_linenumber, round(l_extendedprice, 2) AS price FROM orders LEFT JOIN t ON o_orderkey = l_orderkey""",
     "function_families": f"SELECT c.fn, f.family, count(*) AS n_calls FROM ({_CALLS}) c JOIN (VALUES {_FAMILIES}) f(fn, family) ON c.fn = f.fn GROUP BY 1, 2",
 }
+
+_SCRIPT_USES = f"""u AS (SELECT DISTINCT file_path, {clean("t")} AS t, 'R' AS a FROM (SELECT file_path, unnest(source_tables) AS t FROM statement_lineage) UNION SELECT DISTINCT file_path, {clean("target_table")}, 'W' FROM statement_lineage)"""
+_LAST = f"""last AS (SELECT database_name, max(snapshot_no) AS snapshot_no FROM catalog_columns WHERE table_schema IS NOT NULL AND table_name IS NOT NULL AND column_name IS NOT NULL AND snapshot_no IS NOT NULL GROUP BY 1),
+cols AS (SELECT database_name, {clean("table_schema")} AS s, {clean("table_name")} AS t, {clean("column_name")} AS c, data_type, is_nullable, loaded_at, ordinal_position FROM catalog_columns JOIN last USING (database_name, snapshot_no)
+  WHERE table_schema IS NOT NULL AND table_name IS NOT NULL AND column_name IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY database_name, {clean("table_schema")}, {clean("table_name")}, {clean("column_name")} ORDER BY loaded_at DESC NULLS LAST, data_type DESC NULLS LAST, is_nullable DESC NULLS LAST, ordinal_position DESC NULLS LAST) = 1)"""
+_FORMS = f"""tabs AS (SELECT DISTINCT {clean("database_name")} AS d, {clean("schema_name")} AS s, {clean("table_name")} AS t FROM table_disambiguation),
+forms AS (SELECT form, min(s || '.' || t) AS q, count(DISTINCT d || '.' || s || '.' || t) AS n, min(rank) AS rank FROM (
+  SELECT d || '.' || s || '.' || t AS form, 1 AS rank, d, s, t FROM tabs UNION ALL SELECT s || '.' || t, 2, d, s, t FROM tabs UNION ALL SELECT d || '..' || t, 3, d, s, t FROM tabs UNION ALL SELECT t, 4, d, s, t FROM tabs) GROUP BY form)"""
+
+ORACLE_SQL |= {
+    "register_tables": f"""WITH s AS (SELECT statement_id, file_path, statement_type, {clean("target_table")} AS dst, source_tables FROM {_DEDUP_STATEMENTS}),
+e AS (SELECT DISTINCT file_path, {clean("t")} AS src, dst FROM (SELECT file_path, dst, unnest(source_tables) AS t FROM s WHERE dst IS NOT NULL) WHERE {clean("t")} IS NOT NULL AND {clean("t")} <> dst),
+u AS (SELECT dst AS table_name, file_path, statement_type FROM s WHERE dst IS NOT NULL UNION SELECT src, file_path, 'REFERENCE' FROM e),
+a AS (SELECT table_name, CAST(count(DISTINCT file_path) AS INTEGER) AS n_scripts, array_to_string(list_sort(list_distinct(list(statement_type))), ',') AS definition_types FROM u GROUP BY 1)
+SELECT table_name, n_scripts, definition_types, (SELECT count(DISTINCT src) FROM e WHERE dst = table_name) AS depends_on_count, (SELECT count(DISTINCT dst) FROM e WHERE src = table_name) AS referenced_by_count FROM a""",
+    "merge_columns": f"""WITH c AS (SELECT * FROM {_DEDUP_COLUMNS} WHERE target_table IS NOT NULL AND target_column IS NOT NULL),
+b AS (SELECT lower(target_table) AS table_key, lower(target_column) AS column_key, array_to_string(list_sort(list_distinct(list(transform_type))), ',') AS transforms, count(DISTINCT transform_type) AS nt, coalesce(bool_or(transform_type = 'direct'), false) AS dr,
+  bool_or(is_aggregate) AS is_aggregate, bool_or(is_calculated) AS is_calculated, count(DISTINCT file_path) AS n_scripts, count(*) AS n_definitions, CAST(least(count(DISTINCT expression), 10) AS INTEGER) AS n_expressions FROM c GROUP BY 1, 2),
+s AS (SELECT lower(target_table) AS table_key, lower(target_column) AS column_key, unnest(source_columns) AS s FROM c),
+t AS (SELECT table_key, column_key, count(DISTINCT concat_ws('.', s.table_name, s.column_name)) AS k, bool_or(s.cte_reference IS NOT NULL) AS cte FROM s GROUP BY 1, 2)
+SELECT table_key, column_key, transforms, is_aggregate, is_calculated, n_scripts, n_definitions, CAST(coalesce(k, 0) AS INTEGER) AS n_sources, n_expressions,
+  round((CASE WHEN dr THEN 1.0::DOUBLE WHEN nt > 2 THEN 0.7::DOUBLE WHEN is_aggregate THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN coalesce(k, 0) > 5 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN coalesce(cte, false) THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END)
+  * (CASE WHEN n_scripts > 1 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END), 2) AS confidence FROM b LEFT JOIN t USING (table_key, column_key)""",
+    "lineage_summary": f"""SELECT count(*) AS total_statements, count(DISTINCT file_path) AS total_files, count(DISTINCT {clean("target_table")}) AS total_targets, CAST(0 AS BIGINT) AS total_columns, count(parse_error) AS parse_errors, count(*) FILTER (is_dynamic) AS dynamic_statements, CAST(0 AS BIGINT) AS total_ctes,
+printf('%.1f%%', 100.0::DOUBLE * count(*) FILTER (parse_error IS NULL) / count(*)) AS parse_success_rate FROM {_DEDUP_STATEMENTS}""",
+    "usage_report": f"WITH {_SCRIPT_USES} SELECT t AS table_name, count(*) FILTER (a = 'R') AS read_count, count(*) FILTER (a = 'W') AS write_count, count(*) AS total_count, count(DISTINCT file_path) AS n_routines FROM u WHERE t IS NOT NULL GROUP BY t",
+    "access_matrix": f"WITH {_SCRIPT_USES} SELECT t AS table_name, CAST(count(*) FILTER (a = 'R') AS INTEGER) AS n_read_by, CAST(count(*) FILTER (a = 'W') AS INTEGER) AS n_written_by FROM u WHERE t IS NOT NULL GROUP BY t",
+    "history_top": """SELECT query_text_id, count_executions FROM (SELECT * FROM query_history QUALIFY row_number() OVER (PARTITION BY query_text_id ORDER BY loaded_at) = 1)
+WHERE length(query_sql_text) >= 50 AND NOT regexp_matches(lower(query_sql_text), '\\b(?:sys|information_schema|pg_catalog|dbc)\\.') AND last_execution_time >= TIMESTAMP '2025-01-01' - INTERVAL 365 DAY ORDER BY count_executions DESC NULLS LAST, query_text_id LIMIT 1000""",
+    "name_disambiguation": f"""WITH {_FORMS.split("forms AS")[0].rstrip().rstrip(",")} SELECT t AS table_name, count(DISTINCT s) AS n_schemas, count(DISTINCT s) = 1 AS is_unique, array_to_string(list_sort(list(DISTINCT s || '.' || t)), ',') AS qualified_names FROM tabs GROUP BY t""",
+    "name_resolution": f"""WITH {_FORMS}, r AS (SELECT DISTINCT {clean("t")} AS ref FROM (SELECT unnest(source_tables) AS t FROM statement_lineage))
+SELECT ref, CASE WHEN x.q IS NOT NULL AND f.rank IS NULL OR x.q IS NOT NULL AND f.rank > 2 THEN x.q ELSE f.q END AS resolved, CASE WHEN x.q IS NOT NULL AND (f.rank IS NULL OR f.rank > 2) THEN 'default' WHEN f.rank = 1 THEN 'full' WHEN f.rank = 2 THEN 'schema' WHEN f.rank = 3 THEN 'database' WHEN f.rank = 4 THEN 'name' END AS resolved_by
+FROM r LEFT JOIN forms f ON f.form = ref AND f.n = 1 LEFT JOIN forms x ON x.form = 'dbo.' || ref AND NOT contains(ref, '.') AND x.n = 1 AND x.rank = 2 WHERE ref IS NOT NULL""",
+    "column_map": f"WITH {_LAST} SELECT c AS column_name, count(DISTINCT s || '.' || t) AS n_tables, count(DISTINCT lower(data_type)) AS n_types, count(DISTINCT s || '.' || t) = 1 AS is_unique FROM cols GROUP BY c",
+    "edge_enrichment": f"""WITH {_LAST}, known AS (SELECT s || '.' || t AS t, c, min(data_type) AS ty FROM cols GROUP BY 1, 2),
+e AS (SELECT {clean("x.table_name")} AS st, {clean("x.column_name")} AS sc FROM (SELECT unnest(source_columns) AS x FROM {_DEDUP_COLUMNS}) WHERE x.cte_reference IS NULL AND x.table_name IS NOT NULL)
+SELECT st IN (SELECT t FROM known) AS src_table_exists, k.t IS NOT NULL AS src_exists, coalesce(k.ty, '-') AS src_type, count(*) AS n_edges FROM e LEFT JOIN known k ON k.t = st AND k.c = sc GROUP BY 1, 2, 3""",
+    "key_assembly": f"""WITH {_LAST}, n AS (SELECT s || '.' || t AS q, count(DISTINCT c) AS n FROM cols GROUP BY 1),
+f AS (SELECT * FROM foreign_keys QUALIFY row_number() OVER (PARTITION BY fk_id ORDER BY loaded_at) = 1),
+k AS (SELECT concat_ws('.', {clean("schema_name")}, {clean("table_name")}) AS q, count(DISTINCT (constraint_name, {clean("column_name")}, {clean("referenced_schema")}, {clean("referenced_table")}, {clean("referenced_column")})) AS n, array_to_string(list_sort(list(DISTINCT {clean("column_name")})), ',') AS key_columns FROM f GROUP BY 1)
+SELECT qualified_name, CAST(coalesce(n.n, 0) AS INTEGER) AS n_columns, CAST(coalesce(k.n, 0) AS INTEGER) AS n_keys, coalesce(key_columns, '') AS key_columns
+FROM (SELECT DISTINCT concat_ws('.', {clean("table_schema")}, {clean("table_name")}) AS qualified_name FROM catalog_tables) LEFT JOIN n ON n.q = qualified_name LEFT JOIN k ON k.q = qualified_name""",
+    "text_references": f"""WITH {_FORMS}, p AS (SELECT DISTINCT procedure_id, definition FROM catalog_procedures WHERE definition IS NOT NULL),
+w AS (SELECT procedure_id, unnest(regexp_extract_all(definition, '((?:\\[[^\\]\\n]+\\]|"[^"\\n]+"|`[^`\\n]+`|[A-Za-z_#@][\\w$#@]*)(?:\\.(?:\\[[^\\]\\n]+\\]|"[^"\\n]+"|`[^`\\n]+`|[A-Za-z_#@][\\w$#@]*))*)', 1)) AS n FROM p)
+SELECT DISTINCT procedure_id, q AS qualified_name FROM w JOIN forms ON forms.form = {clean("w.n")} AND forms.n = 1""",
+    "virtual_source_nodes": f"""WITH {_LAST}, known AS (SELECT s || '.' || t AS node, count(DISTINCT c) AS n FROM cols GROUP BY 1),
+e AS (SELECT {clean("t")} AS src, {clean("target_table")} AS dst FROM (SELECT unnest(source_tables) AS t, target_table FROM statement_lineage)), named AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+SELECT node, CAST(1 AS INTEGER) AS in_catalog, n AS n_columns FROM known UNION ALL SELECT node, 0, 0 FROM named WHERE node IS NOT NULL AND node NOT IN (SELECT node FROM known)""",
+    "function_calls": """SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS size_class, CASE p_brand WHEN 'Brand#11' THEN 'a' WHEN 'Brand#12' THEN 'b' ELSE 'other' END AS brand_code, split_part(p_type, ' ', 1) AS first_word, CAST(p_size & 12 AS INTEGER) AS bits, length(p_name) AS name_length, greatest(p_size, 10) AS at_least_ten,
+levenshtein(p_brand, 'Brand#11') AS distance, md5(p_name) AS name_md5, upper(left(p_brand, 1)) || lower(substr(p_brand, 2)) AS brand, lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS padded, CASE WHEN p_type IS NOT NULL THEN 'y' ELSE 'n' END AS has_type, TRY_CAST(p_brand AS DOUBLE) AS no_number FROM part""",
+    "date_functions": """SELECT o_orderkey, date_diff('month', o_orderdate, TIMESTAMP '2000-02-29') AS months, date_diff('day', o_orderdate, TIMESTAMP '2000-02-29') AS days, date_diff('year', o_orderdate, TIMESTAMP '2000-02-29') AS years, CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS next_month,
+last_day(o_orderdate) AS month_end, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter_start FROM orders""",
+}
