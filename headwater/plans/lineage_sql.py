@@ -134,15 +134,15 @@ WHERE length(query_sql_text) >= 50 AND NOT regexp_matches(lower(query_sql_text),
 SELECT ref, CASE WHEN x.q IS NOT NULL AND f.rank IS NULL OR x.q IS NOT NULL AND f.rank > 2 THEN x.q ELSE f.q END AS resolved, CASE WHEN x.q IS NOT NULL AND (f.rank IS NULL OR f.rank > 2) THEN 'default' WHEN f.rank = 1 THEN 'full' WHEN f.rank = 2 THEN 'schema' WHEN f.rank = 3 THEN 'database' WHEN f.rank = 4 THEN 'name' END AS resolved_by
 FROM r LEFT JOIN forms f ON f.form = ref AND f.n = 1 LEFT JOIN forms x ON x.form = 'dbo.' || ref AND NOT contains(ref, '.') AND x.n = 1 AND x.rank = 2 WHERE ref IS NOT NULL""",
     "column_map": f"WITH {_LAST} SELECT c AS column_name, count(DISTINCT s || '.' || t) AS n_tables, count(DISTINCT lower(data_type)) AS n_types, count(DISTINCT s || '.' || t) = 1 AS is_unique FROM cols GROUP BY c",
-    "edge_enrichment": f"""WITH {_LAST}, known AS (SELECT s || '.' || t AS t, c, min(data_type) AS ty FROM cols GROUP BY 1, 2),
-e AS (SELECT {clean("x.table_name")} AS st, {clean("x.column_name")} AS sc FROM (SELECT unnest(source_columns) AS x FROM {_DEDUP_COLUMNS}) WHERE x.cte_reference IS NULL AND x.table_name IS NOT NULL)
-SELECT st IN (SELECT t FROM known) AS src_table_exists, k.t IS NOT NULL AS src_exists, coalesce(k.ty, '-') AS src_type, count(*) AS n_edges FROM e LEFT JOIN known k ON k.t = st AND k.c = sc GROUP BY 1, 2, 3""",
+    "edge_enrichment": f"""WITH known AS (SELECT concat_ws('.', {clean("referenced_schema")}, {clean("referenced_table")}) AS t, {clean("referenced_column")} AS c, min(delete_action) AS ty FROM foreign_keys WHERE referenced_table IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT {clean("x.table_name")} AS st, {clean("x.column_name")} AS sc, {clean("target_table")} AS dt FROM (SELECT unnest(source_columns) AS x, target_table FROM {_DEDUP_COLUMNS}) WHERE x.cte_reference IS NULL AND x.table_name IS NOT NULL)
+SELECT st IN (SELECT t FROM known) AS src_table_exists, k.t IS NOT NULL AS src_exists, coalesce(k.ty, '-') AS src_type, coalesce(dt IN (SELECT t FROM known), false) AS dst_table_exists, count(*) AS n_edges FROM e LEFT JOIN known k ON k.t = st AND k.c = sc GROUP BY 1, 2, 3, 4""",
     "key_assembly": f"""WITH {_LAST}, n AS (SELECT s || '.' || t AS q, count(DISTINCT c) AS n FROM cols GROUP BY 1),
 f AS (SELECT * FROM foreign_keys QUALIFY row_number() OVER (PARTITION BY fk_id ORDER BY loaded_at) = 1),
 k AS (SELECT concat_ws('.', {clean("schema_name")}, {clean("table_name")}) AS q, count(DISTINCT (constraint_name, {clean("column_name")}, {clean("referenced_schema")}, {clean("referenced_table")}, {clean("referenced_column")})) AS n, array_to_string(list_sort(list(DISTINCT {clean("column_name")})), ',') AS key_columns FROM f GROUP BY 1)
 SELECT qualified_name, CAST(coalesce(n.n, 0) AS INTEGER) AS n_columns, CAST(coalesce(k.n, 0) AS INTEGER) AS n_keys, coalesce(key_columns, '') AS key_columns
 FROM (SELECT DISTINCT concat_ws('.', {clean("table_schema")}, {clean("table_name")}) AS qualified_name FROM catalog_tables) LEFT JOIN n ON n.q = qualified_name LEFT JOIN k ON k.q = qualified_name""",
-    "text_references": f"""WITH {_FORMS}, p AS (SELECT DISTINCT procedure_id, definition FROM catalog_procedures WHERE definition IS NOT NULL),
+    "text_references": f"""WITH {_FORMS.replace("table_disambiguation", "(SELECT 'db' AS database_name, table_schema AS schema_name, table_name FROM catalog_tables)")}, p AS (SELECT DISTINCT procedure_id, definition FROM catalog_procedures WHERE definition IS NOT NULL),
 w AS (SELECT procedure_id, unnest(regexp_extract_all(definition, '((?:\\[[^\\]\\n]+\\]|"[^"\\n]+"|`[^`\\n]+`|[A-Za-z_#@][\\w$#@]*)(?:\\.(?:\\[[^\\]\\n]+\\]|"[^"\\n]+"|`[^`\\n]+`|[A-Za-z_#@][\\w$#@]*))*)', 1)) AS n FROM p)
 SELECT DISTINCT procedure_id, q AS qualified_name FROM w JOIN forms ON forms.form = {clean("w.n")} AND forms.n = 1""",
     "virtual_source_nodes": f"""WITH {_LAST}, known AS (SELECT s || '.' || t AS node, count(DISTINCT c) AS n FROM cols GROUP BY 1),

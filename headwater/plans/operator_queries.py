@@ -151,11 +151,12 @@ def column_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    """Columns of column_lineage with type and nullability by the catalog, counted by type."""
+    """Sources of column_lineage that foreign keys refer to, by what deleting the key does (its type here), counted."""
     e = T(spark, d, "column_lineage").dropDuplicates(["lineage_id"]).select("lineage_id", F.col("target_table").alias("dst_table"), F.col("target_column").alias("dst_column"), F.explode("source_columns").alias("s"))
     e = e.filter("s.cte_reference is null and s.table_name is not null").select("lineage_id", "dst_table", "dst_column", F.col("s.table_name").alias("src_table"), F.col("s.column_name").alias("src_column"))
-    rich = catalog.enrich_edges(e, _last_columns(spark, d))
-    return rich.groupBy("src_table_exists", "src_exists", F.coalesce("src_type", F.lit("-")).alias("src_type")).agg(F.count(F.lit(1)).alias("n_edges"))
+    keys = T(spark, d, "foreign_keys").filter("referenced_table is not null").select(F.col("referenced_schema").alias("schema_name"), F.col("referenced_table").alias("table_name"), F.col("referenced_column").alias("column_name"), F.col("delete_action").alias("data_type"), F.lit(False).alias("is_nullable"))
+    rich = catalog.enrich_edges(e, keys)
+    return rich.groupBy("src_table_exists", "src_exists", F.coalesce("src_type", F.lit("-")).alias("src_type"), "dst_table_exists").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 def key_assembly(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +171,8 @@ def key_assembly(spark: SparkSession, d: str) -> DataFrame:
 def text_references(spark: SparkSession, d: str) -> DataFrame:
     """Tables of the catalog that each routine's text names in any form."""
     p = T(spark, d, "catalog_procedures").filter("definition is not null").select("procedure_id", "definition").distinct()
-    return catalog.references_in_text(p, "definition", _catalog_tables(spark, d))
+    t = T(spark, d, "catalog_tables").select(F.lit("db").alias("database_name"), F.col("table_schema").alias("schema_name"), "table_name")
+    return catalog.references_in_text(p, "definition", t)
 
 
 def virtual_source_nodes(spark: SparkSession, d: str) -> DataFrame:
