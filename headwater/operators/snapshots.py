@@ -111,13 +111,12 @@ def snapshot_changes(rows: DataFrame, scope: list[str], key: list[str], snapshot
     """
     cols = [*scope, *key]
     scratch = Scratch(rows.sparkSession, "snapshots")
-    by_key = _latest(rows, cols, snapshot, value, version).groupBy(*cols).agg(F.collect_list(F.struct("_snap", "_value")).alias("_held"))
-    # Written once: the lines of each key with its ordinal are read for the deliveries, the bitmaps and the names of keys.
+    # Written once: the lines of each key are read for the numbers of keys and for their ordinals.
+    by_key = scratch.save(_latest(rows, cols, snapshot, value, version).groupBy(*cols).agg(F.collect_list(F.struct("_snap", "_value")).alias("_held")))
     if registry is None:
         placed = scratch.save(assign_ordinals(by_key, scope, key, block_keys=block_keys))
         registry = placed.select(*cols, "block", "position")
     else:
-        by_key = scratch.save(by_key)
         registry = scratch.save(assign_ordinals(by_key, scope, key, registry, block_keys))
         placed = by_key.join(registry, cols)
     deliveries = placed.select(*scope, F.explode("_held._snap").alias("_snap")).distinct()
