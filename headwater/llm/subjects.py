@@ -321,7 +321,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str) ->
     pick = F.xxhash64(key)
     chosen = per_doc.orderBy(pick, key).limit(MAX_DOCS)
     texts = docs.select(key, F.col(text).alias("_text")).filter(F.char_length("_text").between(1, MAX_CHARS))
-    hand = texts.join(F.broadcast(chosen), key).orderBy(pick, key).select("_text", "given")
     titled = texts.filter(F.col("_text").rlike(r"(?m)^#+[ \t]+\S")).select(key).join(per_doc.select(key), key, "left_anti").orderBy(pick, key).limit(MAX_TITLED)
-    other = texts.join(F.broadcast(titled), key).orderBy(pick, key).select("_text")
-    return [(r["_text"], r["given"]) for r in hand.toLocalIterator()], [r["_text"] for r in other.toLocalIterator()]
+    wanted = chosen.unionByName(titled, allowMissingColumns=True)  # at most MAX_DOCS + MAX_TITLED rows
+    rows = texts.join(F.broadcast(wanted), key).orderBy(pick, key).select("_text", "given").toLocalIterator()
+    hand, other = [], []
+    for r in rows:
+        if r["given"] is None:
+            other.append(r["_text"])
+        else:
+            hand.append((r["_text"], r["given"]))
+    return hand, other
