@@ -22,6 +22,8 @@ from headwater.scratch import Scratch
 MAX_EDITS = 4
 #: Slips that a value may have; a slip is a letter too many, missing, wrong, or two swapped.
 MAX_SLIPS = 2
+#: Words read between two writes where words aren't separated.
+ROUNDS = 4
 #: Letters with marks, and the letters they are typed for.
 MARKED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn"
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -115,7 +117,9 @@ def _abbreviations(typed: DataFrame, refs: DataFrame, vocabulary: DataFrame, lis
     word = typed.select(F.explode("words").alias("w")).distinct()
     strange = word.join(vocabulary, F.col("w") == F.col("word"), "left_anti")
     # Both meet on the first three letters of the abbreviation: three letters of the word, the first one its initial.
-    triples = F.expr("array_distinct(flatten(transform(sequence(2, length(word) - 1), i -> transform(sequence(i + 1, length(word)), j -> concat(substring(word, 1, 1), substring(word, i, 1), substring(word, j, 1))))))")
+    # Of the second letter the first place counts, so a word has no more of them than pairs of letters.
+    behind = "substring(word, instr(substring(word, 2), a) + 2)"
+    triples = F.expr(f"flatten(transform(array_distinct(split(substring(word, 2), '')), a -> transform(array_distinct(split({behind}, '')), b -> concat(substring(word, 1, 1), a, b))))")
     ways = vocabulary.filter(F.length("word") >= 3).select("word", F.explode(triples).alias("triple"))
     short = strange.filter(F.col("w").rlike("^[a-z]{3,}$")).join(ways, F.substring("w", 1, 3) == F.col("triple")).filter(F.length("w") * 3 <= F.length("word") * 2)
     short = short.filter(F.rlike("word", F.concat(F.lit("^"), F.array_join(F.split("w", ""), ".*")))).select("w", "word").distinct()
@@ -143,16 +147,25 @@ def _abbreviations(typed: DataFrame, refs: DataFrame, vocabulary: DataFrame, lis
 def _read_through(clean: DataFrame, spellings: DataFrame, n_words: int, longest: int) -> DataFrame:
     """Values read as spellings of words without separators, with all words written out: raw, f.
 
-    clean: raw, v; spellings: piece, word. Each of n_words rounds takes a spelling from the start of what is left.
+    clean: raw, v; spellings: piece, word. Each of n_words rounds takes a spelling from the start of what is left; after every
+    ROUNDS of them what is read to the end is put aside, and the work is done when nothing else is left.
     """
+    scratch = Scratch(clean.sparkSession, "reading")
     pieces = spellings.unionByName(spellings.sparkSession.createDataFrame([("", "")], "piece string, word string"))
-    state = clean.select("raw", "v", F.lit(1).alias("at"), F.lit("").alias("f"))
-    for _ in range(n_words):
-        left = F.length("v") - F.col("at") + 1
-        lengths = F.when(left > 0, F.sequence(F.lit(1), F.least(left, F.lit(longest)))).otherwise(F.array(F.lit(0)))  # 0: read to the end
-        state = state.select("*", F.explode(lengths).alias("n")).withColumn("piece", F.expr("substring(v, at, n)")).join(pieces, "piece")
-        state = state.select("raw", "v", (F.col("at") + F.col("n")).alias("at"), F.concat("f", "word").alias("f"))
-    return state.filter(F.col("at") > F.length("v")).select("raw", "f").distinct()
+    state, found = clean.select("raw", "v", F.lit(1).alias("at"), F.lit("").alias("f")), None
+    for done in range(0, n_words, ROUNDS):
+        for _ in range(min(ROUNDS, n_words - done)):
+            left = F.length("v") - F.col("at") + 1
+            lengths = F.when(left > 0, F.sequence(F.lit(1), F.least(left, F.lit(longest)))).otherwise(F.array(F.lit(0)))  # 0: read to the end
+            state = state.select("*", F.explode(lengths).alias("n")).withColumn("piece", F.expr("substring(v, at, n)")).join(pieces, "piece")
+            state = state.select("raw", "v", (F.col("at") + F.col("n")).alias("at"), F.concat("f", "word").alias("f"))
+        state = scratch.save(state)
+        read = state.filter(F.col("at") > F.length("v")).select("raw", "f").distinct()
+        found = read if found is None else found.unionByName(read)
+        state = state.filter(F.col("at") <= F.length("v"))
+        if state.isEmpty():
+            break
+    return found.distinct() if found is not None else clean.select("raw", F.col("v").alias("f")).limit(0)
 
 
 def match_names(values: DataFrame, reference: DataFrame, value: str = "value", abbreviations: dict[str, str] | None = None) -> DataFrame:

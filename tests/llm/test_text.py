@@ -24,6 +24,18 @@ def test_matching(spark):
     assert got == want
 
 
+def test_matching_of_long_names(spark):
+    letters = "abcdefghij"
+    words = [f"{letters[i // 100]}{letters[i // 10 % 10]}{letters[i % 10]}xx" for i in range(120)]
+    long = "w" + "y" * 2000 + "z"
+    ref = spark.createDataFrame([("s." + "_".join(words), "s", "_".join(words), "d"), (f"s.{long}", "s", long, "d"), ("s.few", "s", "_".join(words[:9]), "d"), ("s.none", "s", None, "d"), ("s.empty", "s", "", "d")], "qualified_name string, schema_name string, table_name string, database_name string")
+    vals = spark.createDataFrame([("s." + "-".join(words),), ("s." + "".join(words[:9]),), ("_".join(words[:-1]),), (f"S.{long.upper()}",)], "value string")
+    got = {r.value: r.qualified_name for r in matching.match_names(vals, ref).collect()}
+    assert got == {"s." + "-".join(words): "s." + "_".join(words), "s." + "".join(words[:9]): "s.few", "_".join(words[:-1]): None, f"S.{long.upper()}": f"s.{long}"}
+    assert matching.match_names(vals, ref.limit(0)).filter("qualified_name is not null").count() == 0
+    assert matching.match_names(vals.limit(0), ref).count() == 0
+
+
 def test_pigeonhole_finds_all_pairs(spark):
     rng = random.Random(3)
     forms = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 14))) for _ in range(40)]
