@@ -79,3 +79,27 @@ ORACLE_SQL["p1_deliveries"] = ORACLE_SQL["p1_found"]
 ORACLE_SQL["p5_report"] = (
     "SELECT ref_table, ref_month, reason, count(*) AS n_references FROM (" + ORACLE_SQL["p5_found"] + ") GROUP BY ref_table, ref_month, reason"
 )
+#: Ways of the fewest links, all of them, of which the alphabetically first counts; and all that depends on each table.
+_EDGES = ORACLE_SQL["p2_found"].split("routes(root")[0]
+ORACLE_SQL["p2_paths"] = (
+    _EDGES
+    + """routes(root, node, n) AS (
+  SELECT node, node, 0 FROM nodes WHERE node NOT IN (SELECT child FROM edges)
+  UNION
+  SELECT r.root, e.child, r.n + 1 FROM routes r JOIN edges e ON e.parent = r.node WHERE r.n < 400),
+best AS (SELECT root, node, min(n) AS n FROM routes GROUP BY root, node),
+ways(root, node, n, names) AS (
+  SELECT root, node, 0, [node] FROM best WHERE n = 0
+  UNION
+  SELECT w.root, e.child, w.n + 1, list_append(w.names, e.child) FROM ways w JOIN edges e ON e.parent = w.node JOIN best b ON b.root = w.root AND b.node = e.child AND b.n = w.n + 1)
+SELECT node AS table_name, root AS root_name, CAST(n AS INTEGER) AS n_links, array_to_string(min(names), ' > ') AS path FROM ways GROUP BY root, node, n"""
+)
+ORACLE_SQL["p2_dependents"] = (
+    _EDGES
+    + """inner_nodes(node) AS (SELECT child FROM edges INTERSECT SELECT parent FROM edges),
+walks(a, b, n) AS (
+  SELECT parent, child, 1 FROM edges
+  UNION
+  SELECT w.a, e.child, w.n + 1 FROM walks w JOIN edges e ON e.parent = w.b WHERE w.n < 60)
+SELECT a AS table_name, b AS dependent_name, CAST(min(n) AS INTEGER) AS n_links FROM walks GROUP BY a, b"""
+)

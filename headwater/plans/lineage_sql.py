@@ -148,6 +148,17 @@ SELECT DISTINCT procedure_id, q AS qualified_name FROM w JOIN forms ON forms.for
     "virtual_source_nodes": f"""WITH {_LAST}, known AS (SELECT s || '.' || t AS node, count(DISTINCT c) AS n FROM cols GROUP BY 1),
 e AS (SELECT {clean("t")} AS src, {clean("target_table")} AS dst FROM (SELECT unnest(source_tables) AS t, target_table FROM statement_lineage)), named AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 SELECT node, CAST(1 AS INTEGER) AS in_catalog, n AS n_columns FROM known UNION ALL SELECT node, 0, 0 FROM named WHERE node IS NOT NULL AND node NOT IN (SELECT node FROM known)""",
+    "expand_right": _LINKS.rstrip(",\n") + " SELECT DISTINCT dst AS node FROM links WHERE src NOT IN (SELECT dst FROM links) AND dst IN (SELECT dst FROM links)",
+    "expand_left": _LINKS.rstrip(",\n") + " SELECT DISTINCT src AS node FROM links WHERE dst NOT IN (SELECT src FROM links)",
+    "graph_layers": """WITH n AS (SELECT DISTINCT 'r' || lpad(CAST(n_regionkey AS VARCHAR), 9, '0') AS node, 0 AS layer FROM nation UNION SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 9, '0'), 1 FROM nation UNION SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 2 FROM customer)
+SELECT node, CAST(layer AS INTEGER) AS layer, CAST(row_number() OVER (PARTITION BY layer ORDER BY node) AS INTEGER) AS place FROM n""",
+    "column_index": f"""WITH {_LAST}, have AS (SELECT concat_ws('.', database_name, s, t) AS t, c, min(ordinal_position) AS o FROM cols GROUP BY 1, 2),
+want AS (SELECT DISTINCT concat_ws('.', database_name, {clean("table_schema")}, {clean("table_name")}) AS table_name, trim(column_name, ' ') AS column_name FROM catalog_columns WHERE snapshot_no = 1 AND table_schema IS NOT NULL AND table_name IS NOT NULL AND column_name IS NOT NULL)
+SELECT table_name, column_name, o AS ordinal FROM want LEFT JOIN have ON lower(t) = lower(table_name) AND c = lower(regexp_replace(column_name, '[\\[\\]"`]', '', 'g'))""",
+    "hovered_column": f"""WITH e AS (SELECT DISTINCT lower(x.table_name) AS src_table, lower(x.column_name) AS src_column, lower(target_table) AS dst_table, lower(target_column) AS dst_column FROM (SELECT unnest(source_columns) AS x, target_table, target_column FROM {_DEDUP_COLUMNS}) WHERE x.table_name IS NOT NULL AND x.column_name IS NOT NULL AND target_table IS NOT NULL AND target_column IS NOT NULL),
+top AS (SELECT dst_table AS t, dst_column AS c FROM e GROUP BY 1, 2 ORDER BY count(*) DESC, 1, 2 LIMIT 1)
+SELECT e.* FROM e, top WHERE dst_table = t AND dst_column = c OR src_table = t AND src_column = c""",
+    "routine_subgraph": "SELECT * FROM (VALUES ('dbo.main_load', 'dbo.step_two', 'procedure_call'), ('dbo.step_one', 'dbo.step_two', 'procedure_call'), ('dbo.step_two', 'dbo.step_one', 'procedure_call'), ('dbo.step_two', 'dbo.dyn', 'table_read'), ('dbo.step_two', 'dbo.made', 'table_write')) g(src, dst, edge_type)",
     "function_calls": """SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS size_class, CASE p_brand WHEN 'Brand#11' THEN 'a' WHEN 'Brand#12' THEN 'b' ELSE 'other' END AS brand_code, split_part(p_type, ' ', 1) AS first_word, CAST(p_size & 12 AS INTEGER) AS bits, length(p_name) AS name_length, greatest(p_size, 10) AS at_least_ten,
 levenshtein(p_brand, 'Brand#11') AS distance, md5(p_name) AS name_md5, upper(left(p_brand, 1)) || lower(substr(p_brand, 2)) AS brand, lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS padded, CASE WHEN p_type IS NOT NULL THEN 'y' ELSE 'n' END AS has_type, TRY_CAST(p_brand AS DOUBLE) AS no_number FROM part""",
     "date_functions": """SELECT o_orderkey, date_diff('month', o_orderdate, TIMESTAMP '2000-02-29') AS months, date_diff('day', o_orderdate, TIMESTAMP '2000-02-29') AS days, date_diff('year', o_orderdate, TIMESTAMP '2000-02-29') AS years, CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS next_month,

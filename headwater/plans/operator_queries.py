@@ -182,6 +182,52 @@ def virtual_source_nodes(spark: SparkSession, d: str) -> DataFrame:
     return catalog.virtual_sources(n, s).select("node", "in_catalog", "n_columns")
 
 
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    e = T(spark, d, "table_info").select(clean_name(F.col("table_name")).alias("dst"), F.explode("depends_on").alias("p")).select(clean_name(F.col("p")).alias("src"), "dst")
+    return e.dropna().filter("src <> dst").distinct()
+
+
+def expand_right(spark: SparkSession, d: str) -> DataFrame:
+    """tables one link to the right of all tables without sources."""
+    e = _edges(spark, d)
+    return reports.expand(e, e.select(F.col("src").alias("node")).join(e.select(F.col("dst").alias("node")), "node", "left_anti").distinct())
+
+
+def expand_left(spark: SparkSession, d: str) -> DataFrame:
+    """tables one link to the left of all tables that nothing is made from."""
+    e = _edges(spark, d)
+    return reports.expand(e, e.select(F.col("dst").alias("node")).join(e.select(F.col("src").alias("node")), "node", "left_anti").distinct(), False)
+
+
+def graph_layers(spark: SparkSession, d: str) -> DataFrame:
+    """layer and place of regions, nations and customers in a drawing from left to right."""
+    n, c = T(spark, d, "nation"), T(spark, d, "customer")
+    name = lambda x, k: F.concat(F.lit(x), F.lpad(F.col(k).cast("string"), 9, "0"))
+    e = n.select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst")).unionByName(c.select(name("n", "c_nationkey").alias("src"), name("c", "c_custkey").alias("dst")))
+    return reports.layers(e)
+
+
+def column_index(spark: SparkSession, d: str) -> DataFrame:
+    """place of each column of the first deliveries in the table as last delivered, found in three steps."""
+    c = T(spark, d, "catalog_columns").dropna(subset=["table_schema", "table_name", "column_name"])
+    table_name = F.concat_ws(".", "database_name", clean_name(F.col("table_schema")), clean_name(F.col("table_name")))
+    have = _last_columns(spark, d).select(F.concat_ws(".", "database_name", "schema_name", "table_name").alias("table_name"), "column_name", F.col("ordinal_position").alias("ordinal"))
+    return reports.find_columns(c.filter("snapshot_no = 1").select(table_name.alias("table_name"), F.trim("column_name").alias("column_name")), have)
+
+
+def hovered_column(spark: SparkSession, d: str) -> DataFrame:
+    """column edges that touch the column most edges lead to, and the tables involved."""
+    e = T(spark, d, "column_lineage").dropDuplicates(["lineage_id"]).filter("target_table is not null and target_column is not null").select(F.lower("target_table").alias("dst_table"), F.lower("target_column").alias("dst_column"), F.explode("source_columns").alias("s"))
+    e = e.select(F.lower("s.table_name").alias("src_table"), F.lower("s.column_name").alias("src_column"), "dst_table", "dst_column").dropna().distinct()
+    top = e.groupBy("dst_table", "dst_column").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dst_table", "dst_column").first()
+    return reports.touching(e, top.dst_table if top else "", top.dst_column if top else "")
+
+
+def routine_subgraph(spark: SparkSession, d: str) -> DataFrame:
+    """edges of one routine of the corpus, without those of columns."""
+    return reports.routine_subgraph(reports.typed_edges(_facts(spark)), "dbo.step_two")
+
+
 def function_calls(spark: SparkSession, d: str) -> DataFrame:
     """2.H: functions of the dialects run on parts and orders."""
     c, call = F.col, execute.call
@@ -206,6 +252,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_statements, corpus_column_edges, corpus_table_edges, corpus_ctes, corpus_registry, corpus_summary, corpus_features, corpus_temp_tables, corpus_batches, corpus_routines, corpus_routine_columns, corpus_routine_edges, corpus_call_chains, corpus_call_order, corpus_orphans, corpus_complexity,
-        name_resolution, name_disambiguation, column_map, edge_enrichment, key_assembly, text_references, virtual_source_nodes, function_calls, date_functions,
+        name_resolution, name_disambiguation, column_map, edge_enrichment, key_assembly, text_references, virtual_source_nodes, expand_right, expand_left, graph_layers, column_index, hovered_column, routine_subgraph, function_calls, date_functions,
     )
 }
