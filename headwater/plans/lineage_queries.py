@@ -321,6 +321,18 @@ def routine_summary(spark: SparkSession, d: str) -> DataFrame:
     return routines.routine_facts(p).select("name", F.size("reads").alias("n_reads"), F.size("writes").alias("n_writes"), F.size("calls").alias("n_calls"), F.array_join("writes", ",").alias("writes"), F.size("column_refs").alias("n_column_refs"), "n_outputs", "complexity")
 
 
+def routine_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Tables that each routine writes."""
+    p = T(spark, d, "catalog_procedures").filter("definition is not null").select(F.col("procedure_id").cast("string").alias("name"), "definition").distinct()
+    return routines.routine_facts(p).select("name", F.explode("writes").alias("table_name"))
+
+
+def routine_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Routines that each routine calls."""
+    p = T(spark, d, "catalog_procedures").filter("definition is not null").select(F.col("procedure_id").cast("string").alias("name"), "definition").distinct()
+    return routines.routine_facts(p).select("name", F.explode("calls").alias("called"))
+
+
 def routine_parameters(spark: SparkSession, d: str) -> DataFrame:
     """J4."""
     p = T(spark, d, "catalog_procedures").filter("definition is not null").select("procedure_id", "definition").distinct()
@@ -394,6 +406,6 @@ QUERIES = {
         strip_comments, strip_noise, split_batches, normalize_whitespace, classify_documents, valid_statements, function_kinds, clean_stats, temp_names, feature_counts, regex_sources, parsed_sources, statement_types, transform_kinds, routine_statement_types, routine_table_edges,
         statement_kinds, register_tables, merge_columns, confidence_scores, cte_expand, lineage_summary, usage_report, access_matrix, usage_inversion, catalog_summary,
         history_top, system_filter, dependencies, exec_levels, table_levels, circular_tables, bfs_levels, adjacency, orphan_tables, graph_export, connected_nodes, focus_one_hop, component_sizes, fuzzy_search,
-        top_dependencies, routine_summary, routine_parameters, schema_object_split, medallion_silver, medallion_gold, medallion_kpi_cte, set_ops, window_rank, pivot_status, lateral_top1, function_families,
+        top_dependencies, routine_summary, routine_writes, routine_calls, routine_parameters, schema_object_split, medallion_silver, medallion_gold, medallion_kpi_cte, set_ops, window_rank, pivot_status, lateral_top1, function_families,
     )
 }

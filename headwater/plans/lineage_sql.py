@@ -164,3 +164,10 @@ levenshtein(p_brand, 'Brand#11') AS distance, md5(p_name) AS name_md5, upper(lef
     "date_functions": """SELECT o_orderkey, date_diff('month', o_orderdate, TIMESTAMP '2000-02-29') AS months, date_diff('day', o_orderdate, TIMESTAMP '2000-02-29') AS days, date_diff('year', o_orderdate, TIMESTAMP '2000-02-29') AS years, CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS next_month,
 last_day(o_orderdate) AS month_end, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter_start FROM orders""",
 }
+
+#: Texts of routines without comments and with empty literals, and their names by pattern.
+_BODIES = r"""WITH p AS (SELECT DISTINCT CAST(procedure_id AS VARCHAR) AS name, regexp_replace(regexp_replace(regexp_replace(definition, '(?s)/\*.*?\*/', ' ', 'g'), '--[^\n]*', ' ', 'g'), chr(39) || '[^' || chr(39) || ']*' || chr(39), '0', 'g') AS body FROM catalog_procedures WHERE definition IS NOT NULL) """
+ORACLE_SQL |= {
+    "routine_writes": _BODIES + r"""SELECT DISTINCT name, lower(regexp_replace(t, '[\[\]"`]', '', 'g')) AS table_name FROM (SELECT name, unnest(regexp_extract_all(body, '(?i)\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|MERGE\s+INTO|TRUNCATE\s+TABLE)\s+([\w.\[\]"`#]+)', 1)) AS t FROM p) WHERE lower(t) <> 'set'""",
+    "routine_calls": _BODIES + r"""SELECT DISTINCT name, lower(regexp_replace(t, '[\[\]"`]', '', 'g')) AS called FROM (SELECT name, unnest(regexp_extract_all(body, '(?i)\b(?:EXEC|EXECUTE|CALL|PERFORM)\s+([\w.\[\]"`]+)', 1)) AS t FROM p) WHERE NOT regexp_matches(t, '(?i)^(?:sp_|xp_|fn_|immediate$|as$|on$|function$|procedure$)')""",
+}
