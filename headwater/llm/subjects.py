@@ -42,8 +42,8 @@ MAX_SUBJECTS = 500
 HELD_OUT = 5
 #: Labels that calibration needs, and that a subject needs for thresholds of its own.
 FEW, FEW_OWN = 20, 40
-#: Rounds, passes in each of them (more for few documents, so that there are STEPS in all), documents a step and rate of learning.
-ROUNDS, EPOCHS, STEPS, BATCH, RATE = 3, 2, 300, 256, 0.35
+#: Rounds, passes in each of them (few to many, so that there are STEPS in all), units a step and rate of learning.
+ROUNDS, EPOCHS, STEPS, BATCH, RATE = 3, (2, 12), 300, 256, 0.35
 #: Tokens scored at once, which bounds a worker's memory.
 CHUNK = 150_000
 #: Thresholds tried for a subject that several units have, and for one that a single unit has.
@@ -190,7 +190,7 @@ def _fit(docs: list[tuple[str, dict[str, int]]], weak: list[tuple[str, dict[str,
     target = given.copy()
     unsure = (owner >= n_hand) & (owner < len(docs))
     known = np.where(unsure[:, None] & (given == 0), WEAK, 1).astype(np.float32)
-    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, ROUNDS * len(training))))
+    epochs = min(max(EPOCHS[0], -(-STEPS * BATCH // max(1, ROUNDS * len(training)))), EPOCHS[1])
 
     def scores() -> np.ndarray:
         return np.add.reduceat(w[slot], start, axis=0) * scale[:, None] + b
