@@ -59,6 +59,42 @@ def parsed(sql: Column) -> Column:
     return parse(sql)
 
 
+def source_tables(sql: Column) -> Column:
+    """The stored tables that a statement reads, as an array; null for null, empty for what can't be read."""
+
+    @F.pandas_udf("array<string>")
+    def tables(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: None if t is None else _tables_of(t))
+
+    return tables(sql)
+
+
+def _tables_of(sql: str) -> list[str]:
+    try:
+        return parse_statement(sql, columns=False).sources
+    except Exception:  # parsed has the error
+        return []
+
+
+def statement_kind(sql: Column) -> Column:
+    """Type and error of a statement as a struct of statement_type and parse_error; nulls for null."""
+
+    @F.pandas_udf("struct<statement_type: string, parse_error: string>")
+    def kinds(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            yield pd.DataFrame([(None, None) if t is None else _kind_of(t) for t in batch], columns=["statement_type", "parse_error"])
+
+    return kinds(sql)
+
+
+def _kind_of(sql: str) -> tuple[str, str | None]:
+    try:
+        return parse_statement(sql, columns=False).kind, None
+    except Exception as e:
+        return "ERROR", f"{type(e).__name__}: {e}"[:200]
+
+
 def analyze(corpus: DataFrame, dialect: str = "tsql", source_kind: str = "SCRIPT") -> DataFrame:
     """Statements of a corpus (file_path, sql_text): the table all facts are taken from. Persist or write it before using several.
 

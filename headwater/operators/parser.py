@@ -681,8 +681,11 @@ def _collect_ctes(q: Query) -> list[tuple[str, list[str], list[str], str]]:
     return [(c.into or n, _cte_names(q, n) or output_names(c), all_tables(c), c.text[:SNIPPET]) for n, c in q.ctes.items()]
 
 
-def parse_statement(sql: str) -> Statement:
-    """Lineage of one statement. Text that is no statement gives kind UNKNOWN; nothing raises for its content."""
+def parse_statement(sql: str, columns: bool = True) -> Statement:
+    """Lineage of one statement. Text that is no statement gives kind UNKNOWN; nothing raises for its content.
+
+    Without columns those of a query aren't resolved, which is most of the work where only its tables are wanted.
+    """
     p = Parser(sql)
     st, end = Statement(), len(p.ts)
     if not end:
@@ -700,7 +703,7 @@ def parse_statement(sql: str) -> Statement:
         into = q.into or next((b.into for b in _branches(q) if b.into), None)
         if into:
             st.target, st.subtype = into, "SELECT_INTO"
-        st.columns, st.sources = _columns(q), _plus_ctes(all_tables(q), outer, q)
+        st.columns, st.sources = _columns(q) if columns else [], _plus_ctes(all_tables(q), outer, q)
         st.ctes = st.ctes or _collect_ctes(q)
         if outer is None and not st.ctes:
             st.ctes = _collect_ctes(q)

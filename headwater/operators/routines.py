@@ -228,9 +228,9 @@ def scan(sql: str) -> dict:
     are the sources of what is written or returned; an updated column counts as read and written. Tables read are those in
     FROM, JOIN and USING, without CTEs; a table that is only deleted from isn't read.
     """
-    text = re.sub(r"\$\w*\$", " ", lexer.without_comments(sql))
-    st = parser.parse_statement(lexer.without_comments(sql))
-    tables, own = _Tables(text), signature(lexer.without_comments(sql))
+    sql = lexer.without_comments(sql)
+    text = re.sub(r"\$\w*\$", " ", sql)
+    st, tables, own = parser.parse_statement(sql), _Tables(text), signature(sql)
     low = lambda xs: sorted({x.lower() for x in xs if x})
     col = lambda t, c: f"{t}.{c}".lower()
     writes = {"INSERT", "UPDATE", "DELETE", "MERGE"}

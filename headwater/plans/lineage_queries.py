@@ -82,23 +82,25 @@ def regex_sources(spark: SparkSession, d: str) -> DataFrame:
     return q.select("query_text_id", clean_name(F.col("t")).alias("table_name")).distinct()
 
 
-def parsed_history(spark: SparkSession, d: str) -> DataFrame:
-    return T(spark, d, "query_history").select("query_text_id", "query_sql_text").distinct().select("query_text_id", lineage.parsed(F.col("query_sql_text")).alias("p"))
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    return T(spark, d, "query_history").select("query_text_id", "query_sql_text").distinct()
 
 
 def parsed_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Source tables by the parser, over the whole query history."""
-    return parsed_history(spark, d).select("query_text_id", F.explode("p.source_tables").alias("t")).select("query_text_id", clean_name(F.col("t")).alias("table_name")).distinct()
+    """Source tables by the parser, over the whole query history."""
+    q = _history(spark, d).select("query_text_id", F.explode(lineage.source_tables(F.col("query_sql_text"))).alias("t"))
+    return q.select("query_text_id", clean_name(F.col("t")).alias("table_name")).distinct()
 
 
 def statement_types(spark: SparkSession, d: str) -> DataFrame:
-    """C3 to C8."""
-    return parsed_history(spark, d).groupBy("p.statement_type").agg(F.count(F.lit(1)).alias("n_statements"), F.sum(F.col("p.parse_error").isNotNull().cast("bigint")).alias("n_errors"))
+    """C1 to C3."""
+    p = _history(spark, d).select(lineage.statement_kind(F.col("query_sql_text")).alias("p"))
+    return p.groupBy("p.statement_type").agg(F.count(F.lit(1)).alias("n_statements"), F.sum(F.col("p.parse_error").isNotNull().cast("bigint")).alias("n_errors"))
 
 
 def transform_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of transformation of all selected columns."""
-    c = parsed_history(spark, d).select(F.explode("p.columns").alias("c"))
+    c = _history(spark, d).select(lineage.parsed(F.col("query_sql_text")).alias("p")).select(F.explode("p.columns").alias("c"))
     return c.groupBy("c.transform").agg(F.count(F.lit(1)).alias("n_columns"), F.sum(F.col("c.is_aggregate").cast("bigint")).alias("n_aggregates"))
 
 
