@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from typing import NamedTuple
 
 
@@ -29,20 +30,30 @@ _TOKEN = re.compile(
 )
 
 
-def tokens(sql: str, comments: bool = False) -> list[Token]:
+#: Tokens of the last few texts, for the steps of an analysis read the same text.
+_RECENT: dict[tuple[str, bool], tuple[Token, ...]] = {}
+
+
+def tokens(sql: str, comments: bool = False) -> tuple[Token, ...]:
     """Tokens of a text. A [ after a word, number or closing bracket is a subscript and no quote."""
+    recent = _RECENT.get((sql, comments))
+    if recent is not None:
+        return recent
     out: list[Token] = []
-    at = 0
-    while m := _TOKEN.search(sql, at):
+    at, search, add = 0, _TOKEN.search, out.append
+    while m := search(sql, at):
         kind, text, end = m.lastgroup, m.group(), m.end()
-        if kind == "tag":
-            kind = "dollar"
         if kind == "name" and text[0] == "[" and out and out[-1].end == m.start() and out[-1].text not in (".", "(", ","):
             kind, text, end = "op", "[", m.start() + 1
+        elif kind == "tag" or kind == "dollar":
+            kind = "string"
         if kind != "comment" or comments:
-            out.append(Token("string" if kind == "dollar" else kind, text, m.start(), end))
+            add(Token(kind, text, m.start(), end))
         at = end
-    return out
+    if len(_RECENT) >= 4:
+        _RECENT.clear()
+    _RECENT[sql, comments] = tuple(out)
+    return _RECENT[sql, comments]
 
 
 def without_comments(sql: str) -> str:
@@ -129,15 +140,15 @@ def statements(sql: str, dialect: str = "tsql") -> list[str]:
     return out
 
 
-def _is_begin(ts: list[Token], i: int) -> bool:
+def _is_begin(ts: Sequence[Token], i: int) -> bool:
     return ts[i].upper == "BEGIN" and (i + 1 >= len(ts) or ts[i + 1].upper not in ("TRANSACTION", "TRAN", "WORK", ";"))
 
 
-def _starts_routine(ts: list[Token], i: int) -> bool:
+def _starts_routine(ts: Sequence[Token], i: int) -> bool:
     return i < len(ts) and ts[i].upper in ("CREATE", "REPLACE", "ALTER") and any(t.upper in _ROUTINES for t in ts[i + 1 : i + 7])
 
 
-def _begins_ahead(ts: list[Token]) -> list[bool]:
+def _begins_ahead(ts: Sequence[Token]) -> list[bool]:
     """For each token, whether a BEGIN follows before the next routine is created."""
     ahead, out = False, [False] * len(ts)
     for i in range(len(ts) - 1, -1, -1):
@@ -155,7 +166,7 @@ _IN_BODY = _STARTS - {"DECLARE", "REPLACE"} | {"SEL", "INS", "UPD", "DEL", "PERF
 _CONTROL = {"BEGIN", "IF", "ELSIF", "ELSEIF", "LOOP", "WHILE", "EXCEPTION", "DECLARE", "RETURN", "PRINT", "RAISE", "END"}
 
 
-def routine_statements(ts: list[Token], header: bool = True) -> list[tuple[int, int]]:
+def routine_statements(ts: Sequence[Token], header: bool = True) -> list[tuple[int, int]]:
     """Spans of tokens of the statements in a routine's text, in blocks or brackets or not; statements of control are left out, and
     so is all up to the body if there is a header."""
     spans: list[tuple[int, int]] = []
@@ -206,7 +217,7 @@ def routine_statements(ts: list[Token], header: bool = True) -> list[tuple[int,
     return spans
 
 
-def _continues(ts: list[Token], first: int, i: int, word: str) -> bool:
+def _continues(ts: Sequence[Token], first: int, i: int, word: str) -> bool:
     """Whether a statement word belongs to the statement that is open: the query of an INSERT, CTE, view or MERGE branch."""
     opener = ts[first].upper
     body = {t.upper for t in ts[first:i] if t.kind == "word"}
@@ -221,7 +232,7 @@ def _continues(ts: list[Token], first: int, i: int, word: str) -> bool:
     return False
 
 
-def _at_depth0(ts: list[Token], first: int, i: int, words: set[str]) -> bool:
+def _at_depth0(ts: Sequence[Token], first: int, i: int, words: set[str]) -> bool:
     depth = 0
     for t in ts[first:i]:
         if t.text == "(" and t.kind == "op":
@@ -233,5 +244,5 @@ def _at_depth0(ts: list[Token], first: int, i: int, words: set[str]) -> bool:
     return False
 
 
-def _only_in_brackets(ts: list[Token], first: int, i: int) -> bool:
+def _only_in_brackets(ts: Sequence[Token], first: int, i: int) -> bool:
     return not _at_depth0(ts, first, i, {"SELECT", "INSERT", "UPDATE", "DELETE", "MERGE"})

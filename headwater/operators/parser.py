@@ -8,6 +8,7 @@ Columns are resolved one step (to the source as named) and through CTEs and deri
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from headwater.functions.rules import FAMILY_OF
@@ -902,7 +903,7 @@ _STATEMENT = re.compile(r"(?is)\s*(?:SELECT|SEL|INSERT|UPDATE|DELETE|MERGE|WITH|
 _EMBEDDED = re.compile(r"(?s)(?:\bsqlText\s*:|\.sql\(|\.execute\()\s*(\"{3}|'{3}|[\"'`])(.+?)\1")
 
 
-def dynamic_strings(ts: list[Token]) -> list[int]:
+def dynamic_strings(ts: Sequence[Token]) -> list[int]:
     """Places of strings that are run as statements: given to EXEC, IMMEDIATE and the like, or to a variable where there are such words."""
     if not any(t.kind == "word" and t.upper in _RUNS for t in ts):
         return []
